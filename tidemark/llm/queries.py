@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, packing
 from tidemark.llm.common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("key")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select(
@@ -20,7 +24,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe}
 
 #: DuckDB SQL, for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
