@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, packing, simhash
 from tidemark.llm.common import table
 
 
@@ -24,7 +24,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe, "op7_simhash": op7_simhash}
 
 #: DuckDB SQL, for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
