@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, neighbours, packing, simhash
+from tidemark.llm import bpe, neighbours, packing, simhash, warc
 from tidemark.llm.common import table
 
 
@@ -28,15 +28,28 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op7_simhash": op7_simhash}
+QUERIES = {"op1_packing": op1_packing, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op7_simhash": op7_simhash}
 
 #: DuckDB SQL, for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS latest FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> latest THEN latest END AS refers_to
+        FROM m
+    """,
     "op3_neighbours": """
         WITH v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
