@@ -14,6 +14,28 @@ BATCH_ROWS = 512
 _OWN: dict[str, str] = {}
 
 
+class Cache(dict):
+    """A bounded cache for a Python worker: what ``make`` gives for a string, looked up at the speed of a dictionary.
+
+    When ``limit`` strings are held, they become the old generation, from which
+    those still in use come back; strings over ``longest`` are made each time.
+    """
+
+    def __init__(self, make, limit: int = 250_000, longest: int = 64):
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key: str):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: ``spark.checkpoint.dir``.
 

@@ -23,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import bounded_batches, materialize, partitions
+from tidemark.llm.bpe import byte_characters
+from tidemark.llm.common import Cache, bounded_batches, materialize, partitions
 
 DIMENSIONS = 3
 BITS = 10
@@ -36,47 +38,47 @@ BITS = 10
 WINDOW = 512
 #: Sequences that stay open from one window to the next.
 OPEN = 64
-#: Words that the cache of a Python worker holds before it starts anew.
-CACHE_WORDS = 400_000
-CACHE_CHARS = 20_000_000
+#: Fixed value: the pieces of a lower-cased text that are encoded on their own.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 _TOKENIZERS: dict[int, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space: spaces and line ends split a text into words
-    that are encoded on their own, repeated ones from a bounded cache."""
+    """Ids of whole texts by a tokenizer that lower-cases and drops white space.
+
+    Spaces and line ends split a text into words that are encoded on their own, repeated ones from bounded caches.
+    Words of plain letters, digits and marks go to the library's model piece by piece, all others to the library whole.
+    """
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {"": b""}
-        self.chars = 0
-        size = self.tokenizer.get_vocab_size()
-        rng = np.random.default_rng(7)
-        self.directions = rng.standard_normal((size, DIMENSIONS)).astype(np.float32)
-
-    def _learn(self, words: list[str]) -> None:
-        self.chars += sum(map(len, words))
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(byte_characters()))
+        self.words, self.pieces = Cache(self.encode_word), Cache(self.encode_piece)
+        self.split = regex.compile(PIECES)
+        self.directions = np.random.default_rng(7).standard_normal((self.tokenizer.get_vocab_size(), DIMENSIONS)).astype(np.float32)
+
+    def encode_piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
+
+    def encode_word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if "<" in word or not (word.isascii() or max(word) < "\u0250"):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower()
+        if low.isalpha():
+            return self.pieces[low]
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join([self.pieces[x] for x in self.split.findall(low)])
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            distinct = set(words)
-            if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
-                self.words, self.chars = {"": b""}, 0
-            self._learn([w for w in distinct if w not in self.words])
-            return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
 def tokenizer(spec: str) -> WordTokenizer:
