@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, neighbours, packing, simhash, warc
+from tidemark.llm import bpe, langid, neighbours, packing, simhash, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("key")
 
 
+def _remainder(n: int):
+    """crc32 of the document's id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(_remainder(5) != 0))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -28,6 +40,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(_remainder(4) != 2))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -37,7 +55,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op7_simhash": op7_simhash}
+QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_simhash": op7_simhash}
 
 #: DuckDB SQL, for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {
