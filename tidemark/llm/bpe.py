@@ -26,14 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import Cache, bounded_batches
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words that the cache of a Python worker holds before it starts anew.
-CACHE_WORDS = 400_000
-
 _CODECS: dict[int, ForcedBoundaryCodec] = {}
 
 
@@ -51,19 +48,6 @@ def byte_characters() -> list[str]:
     return out
 
 
-class _Words(dict):
-    """Words and their ids, as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, codec: ForcedBoundaryCodec):
-        self.codec = codec
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = self.codec.encode_word(word)
-        return out
-
-
 class ForcedBoundaryCodec:
     def __init__(self, vocabulary: str):
         """vocabulary: the text of a tokenizers JSON file with a byte-level BPE model."""
@@ -93,8 +77,8 @@ class ForcedBoundaryCodec:
         self._cut = re.compile(r" (?=\S)")
         self._forced = self.forced.tobytes()
         self._library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self._pieces: dict[str, list[int]] = {}
-        self._words = _Words(self)
+        self._pieces = Cache(self.encode_piece)
+        self._words, self._spaced = Cache(self.encode_word), Cache(lambda word: self.encode_word(" " + word))
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """raw, cut at every forced boundary."""
@@ -108,15 +92,9 @@ class ForcedBoundaryCodec:
 
     def encode_piece(self, piece: str) -> list[int]:
         """The ids of what the pre-tokenizer leaves together: those of its fragments, one after another."""
-        found = self._pieces.get(piece)
-        if found is None:
-            found = []
-            for raw in self.fragments(piece.encode()):
-                found += [t.id for t in self._model.tokenize(raw.decode("latin-1").translate(self._shown))]
-            if len(self._pieces) >= CACHE_WORDS:
-                self._pieces.clear()
-            if len(piece) <= 64:
-                self._pieces[piece] = found
+        found: list[int] = []
+        for raw in self.fragments(piece.encode()):
+            found += [t.id for t in self._model.tokenize(raw.decode("latin-1").translate(self._shown))]
         return found
 
     def encode_word(self, word: str) -> bytes:
@@ -126,18 +104,15 @@ class ForcedBoundaryCodec:
             pieces = [word[i:j] for _, (i, j) in self._library.pre_tokenize_str(word)]
         ids: list[int] = []
         for piece in pieces:
-            ids += self.encode_piece(piece)
+            ids += self._pieces[piece]
         return np.array(ids, "<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
-        if self._odd_space.search(text):
-            starts = [0, *(m.start() for m in self._cut.finditer(text)), len(text)]
-            words = [text[i:j] for i, j in zip(starts, starts[1:]) if i < j]
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        cached = self._words
-        return b"".join([cached[w] if len(w) <= 64 else self.encode_word(w) for w in words])
+        if not self._odd_space.search(text):
+            first, _, rest = text.partition(" ")
+            return (self.encode_word(first) if first else b"") + (b"".join(map(self._spaced.__getitem__, rest.split(" "))) if len(first) < len(text) else b"")
+        starts = [0, *(m.start() for m in self._cut.finditer(text)), len(text)]
+        return b"".join([self._words[text[i:j]] for i, j in zip(starts, starts[1:]) if i < j])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
