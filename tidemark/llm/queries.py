@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, neighbours, packing, simhash, toxicity, warc
+from tidemark.llm import bpe, langid, neighbours, packing, simhash, sketches, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -55,7 +55,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_simhash": op7_simhash}
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_sketches": op8_sketches}
 
 #: DuckDB SQL, for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {
