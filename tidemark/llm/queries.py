@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, neighbours, packing, simhash, sketches, toxicity, warc
+from tidemark.llm import bpe, langid, neighbours, packing, recompression, simhash, sketches, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -59,7 +59,11 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_sketches": op8_sketches}
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_sketches": op8_sketches, "op10_recompression": op10_recompression}
 
 #: DuckDB SQL, for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -85,5 +89,19 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
-    """
+    """,
+    "op10_recompression": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), p AS (SELECT doc_id, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        h AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= n THEN md5(array_to_string(ws[i:i + 34], ' ')) END AS h FROM p),
+        d AS (SELECT doc_id, i, word, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS twice FROM h),
+        c AS (SELECT doc_id, i, word, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM d),
+        k AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+            FROM c GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (doc_id)
+    """,
 }
