@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, neighbours, packing, recompression, simhash, sketches, toxicity, warc
+from tidemark.llm import bpe, langid, neighbours, packing, pii, recompression, simhash, sketches, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -59,11 +59,18 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("pii_spans", lambda s: s["kind"] != pii.TERM)
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.PATTERNS], F.sha2(pii.as_text(base).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
+
+
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_sketches": op8_sketches, "op10_recompression": op10_recompression}
+QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_neighbours": op3_neighbours, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_sketches": op8_sketches, "op9_pii": op9_pii, "op10_recompression": op10_recompression}
 
 #: DuckDB SQL, for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {
