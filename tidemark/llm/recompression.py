@@ -280,3 +280,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.when(all_gone, F.col("words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """docs with repeated windows cut out of the texts (kept words joined by one space); a document of which no word
+    is left goes. Texts that lose nothing stay as they are."""
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"))
+    found, cut = repeats(docs.withColumn("row_number", F.lit(0)), id_col="row_number", text_col=text_col)
+    whole = found.filter(F.col("whole") & (F.col("words") >= WINDOW)).select("key", F.lit("").alias("kept"))
+    lost = materialize(cut.select("key", "kept").unionByName(whole).groupBy("key").agg(F.min("kept").alias("kept")), "lost")
+    few = lost.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    touched = _among(rows, materialize(lost.select("key"), "touched")).join(lost, "key").filter("kept != ''")
+    keys = lost.select("key")
+    clean = rows.join(F.broadcast(keys) if few else keys.hint("merge"), "key", "left_anti")
+    changed = [F.col("kept").alias(c) if c == text_col else F.col(f"row.{c}") for c in names]
+    return clean.select("row.*").unionByName(touched.select(*changed))

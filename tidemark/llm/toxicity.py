@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm import strings
 from tidemark.llm.common import bounded_batches
@@ -294,11 +295,13 @@ class Scorer:
         return np.array([max(map(get, text), default=self.model.bias) for text in found])
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row. No shuffle."""
+def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns ``keep`` of docs (the id by default) and the score, for every row. No shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep or ["doc_id"])], docs[text_col].alias("scored_text"))
+    fields = [f for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = pickle.dumps(shared.value)
@@ -307,7 +310,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             _SCORERS[key] = Scorer(shared.value)
         scorer = _SCORERS[key]
         for batch in batches:
-            out = scorer.model.score(scorer(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [id_col, "score"])
+            *kept, texts = batch.columns
+            out = scorer.model.score(scorer(texts.to_pylist()))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64())], [*[f.name for f in fields], "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+    scored = rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return scored.toDF(*(keep or ["doc_id"]), score_col)
