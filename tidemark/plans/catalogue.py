@@ -2,21 +2,348 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import aggregates as A
+from tidemark.functions import fill, hll, sqlnames, tdigest
+from tidemark.functions.bucket import bucket, with_bucket
+from tidemark.functions.gapfill import gapfill, gapfilled
+from tidemark.operators.joins import AGGREGATES, asof_join, window_join
+from tidemark.operators.lastpoint import last_point
+from tidemark.plans import storage
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+START, FINISH = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
+
+
+def query(sql: str | None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events")
+
+
+# --- buckets ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS b, event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY ALL")
+def bucket_hour_counts(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy(bucket("ts", "1 hour").alias("b"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
+
+
+@query("SELECT time_bucket(INTERVAL '15 minutes', ts) AS b, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL")
+def bucket_15m_type(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy(bucket("ts", "15 minutes").alias("b"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+
+
+@query("SELECT time_bucket(INTERVAL '7 days', ts) AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_week(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy(bucket("ts", "1 week").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 month', o_orderdate) AS b, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL")
+def bucket_month_orders(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").groupBy(bucket("o_orderdate", "1 month").alias("b")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+
+
+@query("SELECT time_bucket(INTERVAL '3 months', l_shipdate) AS b, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL")
+def bucket_quarter_lineitem(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy(bucket("l_shipdate", "3 months").alias("b")).agg(F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01 00:30:00') AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_origin_half_hour(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy(bucket("ts", "1 hour", origin=dt.datetime(2000, 1, 1, 0, 30)).alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(floor(o_totalprice) AS BIGINT) - ((CAST(floor(o_totalprice) AS BIGINT) - 7) % 1000 + 1000) % 1000 AS b, count(*) AS n FROM orders GROUP BY ALL")
+def bucket_int_price(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").groupBy(bucket(F.floor("o_totalprice").cast("long"), 1000, origin=7, kind="long").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '14 days', CAST(o_orderdate AS DATE)) AS DATE) AS b, count(*) AS n FROM orders GROUP BY ALL")
+def bucket_date_fortnight(spark, sf_dir):
+    days = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
+    return with_bucket(days, "d", "2 weeks", "b").groupBy("b").agg(F.count("*").alias("n"))
+
+
+@query("SELECT timezone('America/New_York', time_bucket(INTERVAL '1 day', timezone('America/New_York', timezone('UTC', ts)), TIMESTAMP '2000-01-03')) AT TIME ZONE 'UTC' AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_day_new_york(spark, sf_dir):
+    utc = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")))
+    b = bucket(utc, "1 day", zone="America/New_York", kind="ltz")
+    as_utc = F.timestamp_add("MICROSECOND", F.unix_micros(b), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return _events(spark, sf_dir).groupBy(as_utc.alias("b")).agg(F.count("*").alias("n"))
 
-def _bucket_hour_counts(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("b"), "event_type").agg(
-        F.count("*").alias("n"), F.max("value").alias("max_value")
+
+@query("SELECT time_bucket(INTERVAL '90 minutes', ts) AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_sql_name(spark, sf_dir):
+    sqlnames.register(spark)
+    return _events(spark, sf_dir).selectExpr("bucket_micros(5400000000, ts) AS b").groupBy("b").agg(F.count("*").alias("n"))
+
+
+# --- gaps ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT b AS bucket, count(event_id) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:45:00', INTERVAL '15 minutes') g(b) LEFT JOIN events ON time_bucket(INTERVAL '15 minutes', ts) = b AND event_type = 'error' GROUP BY b")
+def gapfill_quarter_hour(spark, sf_dir):
+    errors = _events(spark, sf_dir).filter("event_type = 'error'")
+    return gapfilled(errors, "ts", "15 minutes", START, FINISH, [F.count("*").alias("n")]).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+_GRID = "grid AS (SELECT b AS bucket FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:50:00', INTERVAL '10 minutes') g(b)), agg AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS bucket, max(value) AS v FROM events WHERE event_type = 'signup' GROUP BY 1), j AS (SELECT bucket, v FROM grid LEFT JOIN agg USING (bucket))"
+
+
+def _sparse(spark, sf_dir):
+    return gapfilled(_events(spark, sf_dir).filter("event_type = 'signup'"), "ts", "10 minutes", START, FINISH, [F.max("value").alias("v")])
+
+
+@query(f"WITH {_GRID} SELECT bucket, last_value(v IGNORE NULLS) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM j")
+def gapfill_locf(spark, sf_dir):
+    return _sparse(spark, sf_dir).withColumn("v", fill.locf("v", ["bucket"]))
+
+
+_LINE = """
+    WITH {grid}, x AS (SELECT bucket, v, {x} AS x FROM j),
+    a AS (
+        SELECT *, last_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER w AS lx, last_value(v IGNORE NULLS) OVER w AS lv,
+               first_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER u AS nx, first_value(v IGNORE NULLS) OVER u AS nv
+        FROM x WINDOW w AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                      u AS (ORDER BY bucket ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
     )
+    SELECT bucket, round(CASE WHEN v IS NOT NULL THEN v ELSE lv + (nv - lv) * (x - lx) / (nx - lx) END, 6) AS v FROM a
+"""
+
+
+@query(_LINE.format(grid=_GRID, x="CAST(epoch_us(bucket) AS DOUBLE)"))
+def gapfill_interpolate_time(spark, sf_dir):
+    return fill.interpolate(_sparse(spark, sf_dir), "v", "bucket", at="bucket").withColumn("v", F.round("v", 6))
 
 
-QUERIES = {"bucket_hour_counts": _bucket_hour_counts}
+@query(_LINE.format(grid=_GRID, x="CAST(row_number() OVER (ORDER BY bucket) AS DOUBLE)"))
+def gapfill_interpolate_position(spark, sf_dir):
+    return fill.interpolate(_sparse(spark, sf_dir), "v", "bucket").withColumn("v", F.round("v", 6))
+
+
+@query("SELECT b AS bucket FROM generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2001-07-01', INTERVAL '3 months') g(b)")
+def gapfill_quarters(spark, sf_dir):
+    return gapfill(spark, "3 months", dt.datetime(1996, 2, 10), dt.datetime(2001, 8, 1), kind="ntz")
+
+
+# --- aggregates ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, arg_min_null(value, ts) AS first_value, arg_max_null(event_type, ts) AS last_type FROM events GROUP BY 1")
+def first_last_by_user(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("user_id").agg(A.first("value", "ts").alias("first_value"), A.last("event_type", "ts").alias("last_type"))
+
+
+_SLOT = "CASE WHEN value >= 300 THEN 11 WHEN value < 10 THEN 0 ELSE least(greatest(CAST(trunc(10 * ((value - 10) / 290)) AS INTEGER) + 1, 1), 10) END"
+_SLOTS = ", ".join(f"count(*) FILTER ({_SLOT} = {i})" for i in range(12))
+
+
+@query(f"SELECT CAST([{_SLOTS}] AS VARCHAR) AS h FROM events")
+def histogram_value(spark, sf_dir):
+    return _events(spark, sf_dir).agg(A.histogram("value", 10, 300, 10).alias("h")).select(F.concat(F.lit("["), F.array_join("h", ", "), F.lit("]")).alias("h"))
+
+
+@query(f"SELECT event_type, CAST([{_SLOTS}] AS VARCHAR) AS h FROM events GROUP BY 1")
+def histogram_by_type(spark, sf_dir):
+    found = A.wide_histogram(_events(spark, sf_dir), ["event_type"], "value", 10, 300, 10, "h")
+    return found.select("event_type", F.concat(F.lit("["), F.array_join("h", ", "), F.lit("]")).alias("h"))
+
+
+_COUNTER = """
+    WITH s AS (SELECT user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+    d AS (
+        SELECT user_id, sum(CASE WHEN b IS NULL THEN 0 WHEN value >= b THEN value - b ELSE value END) AS delta,
+               (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS took, count(*) AS n FROM s GROUP BY 1
+    )
+"""
 
-ORACLE_SQL = {
-    "bucket_hour_counts": """
-        SELECT time_bucket(INTERVAL '1 hour', ts) AS b, event_type, count(*) AS n, max(value) AS max_value
-        FROM events GROUP BY 1, 2
+
+@query(_COUNTER + "SELECT user_id, round(delta, 6) AS counter_delta, round(CASE WHEN n > 1 AND took > 0 THEN delta / took END, 9) AS counter_rate FROM d")
+def counter_by_user(spark, sf_dir):
+    return A.counter(_events(spark, sf_dir), ["user_id"], "value", "ts").select("user_id", F.round("counter_delta", 6).alias("counter_delta"), F.round("counter_rate", 9).alias("counter_rate"))
+
+
+@query(_COUNTER + "SELECT user_id, round(delta, 6) AS counter_delta FROM d")
+def counter_merged_days(spark, sf_dir):
+    days = A.counter_segments(with_bucket(_events(spark, sf_dir), "ts", "1 day", "day"), ["user_id", "day"], "value", "ts")
+    return A.merge_segments(days, ["user_id"]).select("user_id", F.round(A.segment_delta(), 6).alias("counter_delta"))
+
+
+@query("SELECT event_type, count(*) AS n, count(value) AS n_value, CAST(sum(user_id) AS BIGINT) AS users, round(avg(value), 6) AS mean, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+def agg_columnar(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count("value").alias("n_value"), F.sum("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) > 60")
+def agg_having(spark, sf_dir):
+    return _events(spark, sf_dir).filter(F.col("value").isNotNull()).groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 60")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def agg_rollup_distinct(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+# --- sketches -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, true AS within_bound FROM events GROUP BY 1")
+def distinct_sketch_ok(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    found = hll.distinct_sketch(events, ["event_type"], "user_id", 14).select("event_type", hll.distinct_count("sketch").alias("n"))
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("m"))
+    return found.join(exact, "event_type").select("event_type", (F.abs(F.col("n") - F.col("m")) <= 4 * 1.04 / 128 * F.col("m") + 1).alias("within_bound"))
+
+
+@query("SELECT true AS equal_to_whole")
+def sketch_merge_ok(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    merged = hll.merge(hll.distinct_sketch(events, ["event_type"], "event_id"), []).select(F.col("sketch.registers").alias("a"))
+    return merged.crossJoin(hll.distinct_sketch(events, [], "event_id").select(F.col("sketch.registers").alias("b"))).select((F.col("a") == F.col("b")).alias("equal_to_whole"))  # one row each
+
+
+@query("SELECT q, true AS within_bound FROM (VALUES (0.01), (0.1), (0.5), (0.9), (0.99)) v(q)")
+def percentile_sketch_ok(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem")
+    qs = [0.01, 0.1, 0.5, 0.9, 0.99]
+    parts = tdigest.percentile_sketch(lines, ["l_returnflag"], "l_extendedprice")
+    values = tdigest.merge(parts, []).select(tdigest.percentile("digest", qs).alias("v")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), "v")).alias("x")).select("x.q", "x.v")
+    ranks = lines.select("l_extendedprice").join(F.broadcast(values), F.lit(True)).groupBy("q").agg(F.avg((F.col("l_extendedprice") < F.col("v")).cast("int")).alias("rank"))  # five rows
+    return ranks.select(F.col("q").cast("decimal(3,2)").alias("q"), (F.abs(F.col("rank") - F.col("q")) < 0.01).alias("within_bound"))
+
+
+# --- joins in time ------------------------------------------------------------------------------------------------
+
+
+def _purchases_views(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return left, events.filter("event_type = 'view'").select("user_id", "ts", "value")
+
+
+def _asof_sql(keys: str, on: str, value: str = "r.value") -> str:
+    return f"""
+        SELECT l.event_id, r.ts AS r_ts, {value} AS r_value
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') r ON {keys} {on}
     """
-}
+
+
+_PICK = ("event_id", "r_ts", "r_value")
+
+
+@query(_asof_sql("l.user_id = r.user_id AND", "l.ts >= r.ts"))
+def asof_backward(spark, sf_dir):
+    return asof_join(*_purchases_views(spark, sf_dir), ["user_id"], "ts").select(*_PICK)
+
+
+@query(_asof_sql("l.user_id = r.user_id AND", "l.ts <= r.ts"))
+def asof_forward(spark, sf_dir):
+    return asof_join(*_purchases_views(spark, sf_dir), ["user_id"], "ts", direction="forward").select(*_PICK)
+
+
+@query(f"SELECT event_id, CASE WHEN near THEN r_ts END AS r_ts, CASE WHEN near THEN r_value END AS r_value FROM (SELECT x.*, e.ts - x.r_ts <= INTERVAL '6 hours' AS near FROM ({_asof_sql('l.user_id = r.user_id AND', 'l.ts >= r.ts')}) x JOIN events e USING (event_id))")
+def asof_within(spark, sf_dir):
+    return asof_join(*_purchases_views(spark, sf_dir), ["user_id"], "ts", within="6 hours").select(*_PICK)
+
+
+@query(_asof_sql("", "l.ts >= r.ts"))
+def asof_no_keys(spark, sf_dir):
+    return asof_join(*_purchases_views(spark, sf_dir), [], "ts", slice_width="1 day").select(*_PICK)
+
+
+def _window(how: str) -> None:
+    order = {"first": "arg_min(r.value, r.ts)", "last": "arg_max(r.value, r.ts)", "count": "CAST(count(r.value) AS DOUBLE)"}.get(how, f"{how}(r.value)")
+    sql = f"""
+        SELECT l.event_id, round({order}, 6) AS value FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+        LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') r ON l.user_id = r.user_id AND r.ts BETWEEN l.ts - INTERVAL '1 day' AND l.ts + INTERVAL '1 hour'
+        GROUP BY 1
+    """
+
+    def run(spark, sf_dir):
+        left, right = _purchases_views(spark, sf_dir)
+        return window_join(left, right, ["user_id"], "ts", "value", "1 day", "1 hour", how).select("event_id", F.round("value", 6).alias("value"))
+
+    query(sql, f"window_join_{how}")(run)
+
+
+for _how in AGGREGATES:
+    _window(_how)
+
+
+# --- last point, scans, relational --------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT ON (user_id) user_id, ts, event_type, value FROM events ORDER BY user_id, ts DESC")
+def last_point_user(spark, sf_dir):
+    return last_point(_events(spark, sf_dir), ["user_id"], "ts").select("user_id", "ts", "event_type", "value")
+
+
+@query("SELECT DISTINCT ON (user_id, event_type) user_id, event_type, ts, value FROM events ORDER BY user_id, event_type, ts")
+def first_point_two_keys(spark, sf_dir):
+    return last_point(_events(spark, sf_dir), ["user_id", "event_type"], "ts", desc=False).select("user_id", "event_type", "ts", "value")
+
+
+@query("SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' AND value > 50.5")
+def range_scan(spark, sf_dir):
+    c = F.col("ts")
+    low = F.lit("2024-01-10").cast("timestamp_ntz")
+    return _events(spark, sf_dir).filter((c >= low) & (c < low + F.expr("INTERVAL 1 DAY")) & (F.col("value") > 50.5)).select("event_id", "ts", "value")
+
+
+@query("SELECT user_id, ts, value FROM events WHERE user_id IN (3, 7, 11) AND ts < TIMESTAMP '2024-01-20'")
+def in_list_seek(spark, sf_dir):
+    return _events(spark, sf_dir).filter(F.col("user_id").isin(3, 7, 11) & (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))).select("user_id", "ts", "value")
+
+
+@query("SELECT n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY ALL")
+def relational_anti_join(spark, sf_dir):
+    t = lambda n: _table(spark, sf_dir, n)
+    kept = t("customer").join(t("orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return kept.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
+def top_k(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(25)
+
+
+# --- storage ------------------------------------------------------------------------------------------------------
+
+_HOURLY = "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {rows} GROUP BY 1, 2"
+_LATE = "(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 50 = 0)"
+
+query("SELECT * FROM events")(storage.series_roundtrip)
+query("SELECT * FROM events")(storage.sealed_equals_live)
+query(f"SELECT * FROM {_LATE} WHERE NOT (user_id = 3 AND event_type = 'click')")(storage.sealed_with_late_rows)
+query("SELECT * FROM events")(storage.tiered_equals_live)
+query("SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15'")(storage.retention_drop_before)
+query("SELECT event_id, ts, user_id, event_type, CASE WHEN event_type = 'error' THEN value + 1000 ELSE value END AS value, props FROM events")(storage.series_update)
+query("SELECT CAST(strftime(date_trunc('day', ts), 'p%Y%m%d') AS VARCHAR) AS name, count(*) AS rows FROM events GROUP BY 1")(storage.partition_rows)
+query(_HOURLY.format(rows="events"))(storage.rollup_hourly)
+query(_HOURLY.format(rows=_LATE))(storage.rollup_after_late_rows)
+query("SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")(storage.rollup_daily_of_hourly)
+query(_HOURLY.format(rows="events"))(storage.stream_rollup)
