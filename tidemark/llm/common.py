@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -30,12 +33,31 @@ class Cache(dict):
             out = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
-                self.old = dict(self)
+                self.old = self.copy()
                 self.clear()
             self[key] = out
         return out
 
 
+_CLAIMED: dict[str, dict] = {}
+
+
+def claim(name: str, held: dict | None = None) -> None:
+    """Called by an operator's Python code when a task starts: what other operators keep in this worker is given up.
+
+    Workers serve one stage after another; without this the caches of a whole pipeline would add up.
+    """
+    others = [d for n, d in _CLAIMED.items() if n != name and d]
+    for d in others:
+        d.clear()
+    if held is not None:
+        _CLAIMED[name] = held
+    if others:
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: ``spark.checkpoint.dir``.
 
@@ -81,7 +103,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a materialized frame that nothing reads any more."""
+    _remove(df.sparkSession, df.scratch_path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

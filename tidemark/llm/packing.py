@@ -17,7 +17,9 @@ no rows; texts are never cut short.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import byte_characters
-from tidemark.llm.common import Cache, bounded_batches, materialize, partitions
+from tidemark.llm.common import Cache, bounded_batches, claim, materialize, partitions
 
 DIMENSIONS = 3
 BITS = 10
@@ -38,12 +40,22 @@ BITS = 10
 WINDOW = 512
 #: Sequences that stay open from one window to the next.
 OPEN = 64
+#: Words, and pieces, of a generation of the caches.
+CACHE = 400_000
 #: Fixed value: the pieces of a lower-cased text that are encoded on their own.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 _TOKENIZERS: dict[int, WordTokenizer] = {}
 
 
+def _raw(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lower-cases and drops white space.
 
@@ -57,18 +69,20 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.shown = dict(enumerate(byte_characters()))
-        self.words, self.pieces = Cache(self.encode_word), Cache(self.encode_piece)
+        self.words, self.pieces = Cache(self.encode_word, CACHE), Cache(self.encode_piece, CACHE)
         self.split = regex.compile(PIECES)
         self.directions = np.random.default_rng(7).standard_normal((self.tokenizer.get_vocab_size(), DIMENSIONS)).astype(np.float32)
 
     def encode_piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
+        # Printable ASCII stands for itself in the vocabulary.
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
+        return _raw([t.id for t in self.model.tokenize(shown)])
 
     def encode_word(self, word: str) -> bytes:
         if not word:
             return b""
         if "<" in word or not (word.isascii() or max(word) < "\u0250"):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return _raw(self.tokenizer.encode(word, add_special_tokens=False).ids)
         low = word.lower()
         if low.isalpha():
             return self.pieces[low]
@@ -136,6 +150,7 @@ def documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, length:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _TOKENIZERS)
         t = tokenizer(shared.value)
         for batch in batches:
             n, crcs = [], []
