@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.common import Cache, bounded_batches
+from tidemark.llm.common import Cache, bounded_batches, claim
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -152,6 +152,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _CODECS)
         c = codec(shared.value)
         for batch in batches:
             ids = [c.encode(x) for x in batch.column(1).to_pylist()]

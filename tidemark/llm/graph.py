@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("u != v").select("u", "v").distinct(), "edges")
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        done, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        discard(done)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
             return edges

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Cache, bounded_batches
+from tidemark.llm.common import Cache, bounded_batches, claim
 
 SAMPLE = 8000
 WORDS = 20_000
@@ -127,6 +127,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(pickle.dumps((model.languages, model.words, model.grams)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _MODELS)
         if shared.value not in _MODELS:
             _MODELS.clear()
             own = Model({})

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, materialize
+from tidemark.llm.common import bounded_batches, claim, materialize
 
 WINDOW = 35
 ROUNDS = 6
@@ -184,6 +184,7 @@ def _groups(texts: list[list[bytes]]) -> Iterator[range]:
 
 def _parse_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, key, text -> id, key, words, sha, syms, vacant (some window holds no symbol)."""
+    claim("recompression")
     for batch in batches:
         texts = [split(x) for x in batch.column(2).to_pylist()]
         sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in texts]
@@ -200,6 +201,7 @@ def _parse_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, text, at (symbols that others share) -> key, starts, one, two: candidate windows of each text."""
+    claim("recompression")
     for batch in batches:
         keys, starts, ones, twos = [], [], [], []
         for key, text, at in zip(*[batch.column(i).to_pylist() for i in range(3)]):
@@ -221,6 +223,7 @@ def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, text, starts of repeated windows -> key, removed, kept (words joined by spaces)."""
+    claim("recompression")
     for batch in batches:
         removed, kept = [], []
         for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):

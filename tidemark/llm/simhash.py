@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import graph
-from tidemark.llm.common import bounded_batches, materialize
+from tidemark.llm.common import bounded_batches, claim, materialize
 
 SEED = 42
 MAX_DISTANCE = 2
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             fp = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
@@ -192,16 +193,23 @@ class Block:
 
     def __init__(self):
         self.n, self.room = 0, 4
-        self.fp, self.size = np.zeros(4, np.uint64), np.zeros(4, np.int64)
+        self.fp, self.size, self.cluster, self.sig = np.zeros(4, np.uint64), np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64)
         self.table = np.zeros((4, PIVOTS), np.int8)
-        self.sketch: list[np.ndarray] = []
-        self.sig: list[int] = []
-        self.root: list[int] = []
-
-    def _cluster(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
+        self.sketch = np.zeros((4, SKETCH), np.uint64)
+
+    def _grow(self) -> None:
+        for name in ("fp", "size", "cluster", "sig", "table", "sketch"):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        self.room *= 2
+
+    def _likely(self, at: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        """Of the members at, those whose sketch has enough in common with this one to be similar."""
+        theirs = self.sketch[at]
+        place = np.minimum(np.searchsorted(sketch, theirs), len(sketch) - 1)
+        lengths = np.minimum(self.size[at], SKETCH)
+        common = ((sketch[place] == theirs) & (np.arange(SKETCH) < lengths[:, None])).sum(1)
+        return at[common >= SIMILARITY * np.minimum(SKETCH, lengths + len(sketch) - common)]
 
     def add(self, sig: int, fp: np.uint64, row: np.ndarray, size: int, sketch: np.ndarray) -> list[int]:
         """Links to similar members, one for each cluster that has any."""
@@ -210,25 +218,29 @@ class Block:
         for k in range(0, PIVOTS, 8):
             at = at[(np.abs(self.table[at, k : k + 8] - row[k : k + 8]) <= RADIUS).all(1)]
         at = at[np.bitwise_count(self.fp[at] ^ fp) <= RADIUS]
-        found: list[int] = []
-        self.root.append(self.n)
-        for i in at.tolist():
-            if self._cluster(i) != self._cluster(self.n) and likeness(self.sketch[i], sketch) >= SIMILARITY:
-                self.root[self._cluster(self.n)] = self._cluster(i)
-                found.append(self.sig[i])
+        found, joined = [], []
+        if len(at):
+            at = self._likely(at, sketch)
+            for c in np.unique(self.cluster[at]).tolist():
+                for i in at[self.cluster[at] == c].tolist():
+                    if likeness(self.sketch[i, : min(SKETCH, self.size[i])], sketch) >= SIMILARITY:
+                        found.append(int(self.sig[i]))
+                        joined.append(c)
+                        break
         if self.n == self.room:
-            self.room *= 2
-            self.fp, self.size = np.resize(self.fp, self.room), np.resize(self.size, self.room)
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.fp[self.n], self.size[self.n], self.table[self.n] = fp, size, row
-        self.sketch.append(sketch)
-        self.sig.append(sig)
+            self._grow()
+        k = self.n
+        self.fp[k], self.size[k], self.table[k], self.sig[k], self.cluster[k] = fp, size, row, sig, joined[0] if joined else k
+        self.sketch[k, : len(sketch)] = sketch
+        if len(joined) > 1:
+            self.cluster[: k + 1][np.isin(self.cluster[: k + 1], joined)] = joined[0]
         self.n += 1
         return found
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members sorted by block (and salt) -> the same with their links to members before them."""
+    claim("simhash")
     last, block = None, Block()
     for batch in batches:
         where = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
@@ -245,6 +257,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():

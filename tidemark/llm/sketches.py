@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, partitions
+from tidemark.llm.common import bounded_batches, claim, partitions
 
 K = 128
 WIDTH = 12
@@ -147,6 +147,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         return doc, len(text), hashlib.sha256(edit).hexdigest(), to_text(own), to_text(part), resemblance(own, part), resemblance(own, next_own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sketches")
         held = None  # the last document, whose next has not come yet
         for batch in batches:
             out = []

@@ -5,8 +5,8 @@ tolerates inserted and missing characters. Landmarks are the beginnings and
 words that, one after another, account for most labelled toxic texts and hardly
 any clean ones. The Nyström map of those landmarks makes the kernel linear, and
 a support vector machine with squared hinge is fitted on tokens: of a toxic
-text the token nearest to a landmark, of a clean text its nearest and some
-others. A text's decision is that of its worst token; a sigmoid fitted on the
+text the token nearest to a landmark and others very near, of a clean text its
+nearest few. A text's decision is that of its worst token; a sigmoid fitted on the
 labelled texts turns it into a score. Letters written apart (``i d i o t``) are
 also read together.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm import strings
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, claim
 
 #: At most about so many labelled texts of each label are learned from.
-SAMPLE = 2000
+SAMPLE = 1000
 LANDMARKS = 96
 #: A landmark accounts for at least so many texts of the sample, and for this share of clean ones at most.
 LEAST_TEXTS = 3
@@ -54,8 +54,15 @@ SHORTEST = 4
 LONGEST = 24
 #: Stands before a token, so that beginnings count.
 START = "^"
+#: Stands behind a token, so that a beginning alone is not the word.
+END = "$"
 #: Tokens of toxic texts are also learned with a character put in, with this share of the weight.
 DISTURBED = 0.5
+#: Tokens of clean texts that are this much like a landmark become landmarks too, the most frequent so many.
+ALIKE = 0.5
+#: Of a toxic text the token most like a landmark is learned, and others this much like one.
+CLEARLY = 0.7
+HARMLESS = 48
 CACHE_TOKENS = 300_000
 
 _SCORERS: dict[bytes, Scorer] = {}
@@ -86,7 +93,7 @@ def windows(token: str) -> list[str]:
     out = []
     for core in cores:
         if 3 <= len(core) <= LONGEST:
-            out.append(START + core)
+            out.append(START + core + END)
         elif len(core) > LONGEST:
             half = LONGEST // 2
             out += [(START if not i else "") + core[i : i + LONGEST] for i in range(0, len(core) - half, half)]
@@ -95,7 +102,7 @@ def windows(token: str) -> list[str]:
 
 def disturbed(token: str) -> list[str]:
     """A token with a character put in, at each place."""
-    return [token[:i] + "*x1"[i % 3] + token[i:] for i in range(2, len(token))]
+    return [token[:i] + "*x1"[i % 3] + token[i:] for i in range(2, len(token.rstrip(END)))]
 
 
 @dataclass
@@ -123,19 +130,22 @@ class Model:
 def landmarks(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
     """Beginnings and words that cover the toxic texts, most still uncovered first."""
     of: dict[str, set[int]] = defaultdict(set)
-    seen: set[frozenset] = set()
     clean: dict[str, int] = defaultdict(int)
 
     def candidates(text: set[str]) -> set[str]:
-        return {w[:n] for t in text for w in windows(t) for n in range(SHORTEST + 1, min(len(w), 14) + 1)}
+        return {w[:n] for t in text for w in windows(t) for n in range(SHORTEST + 1, min(len(w.rstrip(END)), 14) + 1)}
 
-    for i in np.flatnonzero(toxic):
-        if (key := frozenset(texts[i])) not in seen:  # copies speak once
-            seen.add(key)
-            for c in candidates(texts[i]):
-                of[c].add(int(i))
+    once = {frozenset(texts[i]): int(i) for i in np.flatnonzero(toxic)[::-1]}  # copies speak once
+    seen = sorted(once.values())
+    count = Counter()
+    for i in seen:
+        count.update(candidates(texts[i]))
     least = max(LEAST_TEXTS, LEAST_SHARE * len(seen))
-    of = {c: s for c, s in of.items() if len(s) >= least}
+    often = {c for c, k in count.items() if k >= least}
+    del count
+    for i in seen:
+        for c in candidates(texts[i]) & often:
+            of[c].add(i)
     for i in np.flatnonzero(~toxic):
         for c in candidates(texts[i]):
             if c in of:
@@ -212,7 +222,8 @@ def fit(texts: list[set[str]], toxic: np.ndarray) -> Model:
     vocabulary = sorted(set().union(*texts))
     parts = [windows(t) for t in vocabulary]
     of = np.repeat(np.arange(len(vocabulary)), [len(p) for p in parts])
-    like = strings.similarities([x for p in parts for x in p], marks)
+    words = [x for p in parts for x in p]
+    like = strings.similarities(words, marks)
     nearest = np.zeros(len(vocabulary))
     first = np.full(len(vocabulary), -1)
     top = like.max(1)
@@ -220,12 +231,19 @@ def fit(texts: list[set[str]], toxic: np.ndarray) -> Model:
     nearest[of[order]], first[of[order]] = top[order], order
     at = {t: i for i, t in enumerate(vocabulary)}
     count: dict[tuple[int, bool], int] = defaultdict(int)
+    harmless: Counter[str] = Counter()
     for text, bad in zip(texts, toxic):
         own = sorted((i for t in text if first[i := at[t]] >= 0), key=lambda i: (-nearest[i], i))
-        for i in own[:1] if bad else own[:4]:
+        for i in [i for k, i in enumerate(own) if not k or nearest[i] >= CLEARLY] if bad else own[:4]:
             count[int(first[i]), bool(bad)] += 1
+            if not bad and nearest[i] >= ALIKE:
+                harmless[words[first[i]]] += 1
+    # What clean texts often have that looks like a landmark is one too, to be told apart from.
+    more = [w for w, k in sorted(harmless.items(), key=lambda x: (-x[1], x[0]))[:HARMLESS] if k >= LEAST_TEXTS and w not in marks]
+    marks = marks + more
+    if more:
+        like = np.hstack([like, strings.similarities(words, more)])
     rows = list(count)
-    words = [x for p in parts for x in p]
     y = [1.0 if bad else -1.0 for _, bad in rows]
     weight = [float(count[r]) for r in rows]
     features = [like[[i for i, _ in rows]]]
@@ -266,9 +284,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(tokens(x)) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["bad", "tokens"])
 
     got = rows.mapInArrow(run, "bad boolean, tokens array<string>").toArrow()
-    bad, lists = np.array(got.column("bad").to_pylist(), bool), got.column("tokens").to_pylist()
-    order = sorted(range(len(lists)), key=lambda i: (bool(bad[i]), lists[i]))  # whatever order tasks end in
-    return fit([set(lists[i]) for i in order], bad[order])
+    known_words: dict[str, str] = {}  # a word of many texts is held once
+    found = []
+    for batch in got.to_batches(max_chunksize=64):
+        for is_bad, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found.append((is_bad, [known_words.setdefault(w, w) for w in words]))
+    del got, known_words
+    found.sort()  # whatever order tasks end in
+    return fit([set(words) for _, words in found], np.array([b for b, _ in found], bool))
 
 
 class Scorer:
@@ -304,6 +327,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, text_
     fields = [f for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", _SCORERS)
         key = pickle.dumps(shared.value)
         if key not in _SCORERS:
             _SCORERS.clear()
