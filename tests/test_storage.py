@@ -94,6 +94,13 @@ def test_sealed_and_tiered_equal_plain(spark, catalog, tmp_path):
     assert s.tier_gc(0) >= 0
 
 
+def test_adopt(spark, catalog, tmp_path):
+    df = minutes(spark, 300)
+    df.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{tmp_path}/old")
+    s = Series.adopt(catalog, "old", f"{tmp_path}/old", "ts", interval="1 hour", premake=1, now=DAY0)
+    same(s.scan().drop("day"), df)
+
+
 def test_random_steps(spark, catalog):
     rng, rows = random.Random(4), {}
     s = Series.create(catalog, "r", spark.createDataFrame([], "id long, k long, s string").schema, "id", width=100, premake=1)

@@ -90,6 +90,11 @@ class Series:
         out.premake(now)
         return out
 
+    @classmethod
+    def adopt(cls, catalog: Catalog, name: str, path: str, time_column: str, **how: Any) -> Series:
+        """A series of the rows of a Parquet table that lies at path, however that is partitioned; path is only read."""
+        return cls.create(catalog, name, catalog.spark.read.parquet(path), time_column, **how)
+
     @property
     def spec(self) -> dict:
         doc = self.catalog.read()
