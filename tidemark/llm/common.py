@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark import reachable
+
 #: Rows in an Arrow batch. Texts may be very long, so a batch is kept to a few hundred.
 BATCH_ROWS = 512
 
@@ -114,7 +116,8 @@ def discard(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session has its own setting."""
+    """Keep Arrow batches small, unless the session has its own setting; called before any Python code is planned."""
+    reachable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
