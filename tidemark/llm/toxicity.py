@@ -63,7 +63,9 @@ ALIKE = 0.5
 #: Of a toxic text the token most like a landmark is learned, and others this much like one.
 CLEARLY = 0.7
 HARMLESS = 48
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 150_000
+#: Texts whose tokens are held at once.
+TOGETHER = 128
 
 _SCORERS: dict[bytes, Scorer] = {}
 
@@ -301,6 +303,9 @@ class Scorer:
         self.model, self.known, self.old = model, {}, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[self._some(texts[at : at + TOGETHER]) for at in range(0, len(texts), TOGETHER)]])
+
+    def _some(self, texts: list[str | None]) -> np.ndarray:
         found = [tokens(x) for x in texts]
         if len(self.known) > CACHE_TOKENS:
             self.old, self.known = self.known, {}
