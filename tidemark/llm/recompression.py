@@ -41,7 +41,7 @@ BROADCAST_ROWS = 250_000
 #: Context of what touches the end of a text: no window holds it.
 FAR = 1 << 40
 #: Words parsed at once; longer texts are parsed on their own.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -172,50 +172,59 @@ def split(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def _groups(texts: list[list[bytes]]) -> Iterator[range]:
-    """Runs of texts that are parsed together."""
-    at = size = 0
-    for k, words in enumerate(texts):
-        size += len(words)
-        if size > TOGETHER or k == len(texts) - 1:
-            yield range(at, k + 1)
-            at, size = k + 1, 0
-
-
 def _parse_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, key, text -> id, key, words, sha, syms, vacant (some window holds no symbol)."""
+    """id, key, text -> id, key, words, sha, syms (each once), vacant (some window holds no
+    symbol that the text has but once)."""
     claim("recompression")
     for batch in batches:
-        texts = [split(x) for x in batch.column(2).to_pylist()]
-        sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in texts]
+        n, sha, vacant = [], [], []
         syms: list[np.ndarray] = []
-        vacant = []
-        for part in _groups(texts):
-            names = word_names([w for k in part for w in texts[k]])
-            for k, (s, low, high) in zip(part, anchors(names, np.cumsum([len(texts[k]) for k in part]))):
-                syms.append(s.view(np.int64))
-                vacant.append(bool(candidates(len(texts[k]), low, high, np.zeros(len(s), bool)).any()))
+        group: list[list[bytes]] = []
+        size = 0
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            words = split(text)
+            n.append(len(words))
+            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            group.append(words)
+            size += len(words)
+            if size < TOGETHER and k < batch.num_rows - 1:
+                continue
+            names = word_names([w for words in group for w in words])
+            for words, (s, low, high) in zip(group, anchors(names, np.cumsum([len(words) for words in group]))):
+                each, count = np.unique(s, return_counts=True)
+                syms.append(each.view(np.int64))
+                vacant.append(bool(candidates(len(words), low, high, np.isin(s, each[count > 1])).any()))
+            group, size = [], 0
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, syms)]), pa.int32()), pa.array(np.concatenate(syms) if syms else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in texts], pa.int64()), pa.array(sha, pa.string()), lists, pa.array(vacant, pa.bool_())], ["id", "key", "words", "sha", "syms", "vacant"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), lists, pa.array(vacant, pa.bool_())], ["id", "key", "words", "sha", "syms", "vacant"])
 
 
 def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text, at (symbols that others share) -> key, starts, one, two: candidate windows of each text."""
+    """rid, text, syms that others share -> rid, starts, ones, twos: candidate windows of each text."""
     claim("recompression")
     for batch in batches:
         keys, starts, ones, twos = [], [], [], []
-        for key, text, at in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            names = word_names(split(text))
-            _, low, high = anchors(names, np.array([len(names)]))[0]
-            shared = np.zeros(len(low), bool)
-            shared[np.array(at or [], np.int64)] = True
-            where = np.flatnonzero(candidates(len(names), low, high, shared))
-            if len(where):
-                one, two = window_hashes(names)
-                keys.append(key)
-                starts.append(where.astype(np.int32))
-                ones.append(one[where].view(np.int64))
-                twos.append(two[where].astype(np.int64))
+        group: list[tuple[int, int, list[int] | None]] = []
+        words: list[bytes] = []
+        for k, (key, text, at) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(3)])):
+            own = split(text)
+            words += own
+            group.append((key, len(own), at))
+            if len(words) < TOGETHER and k < batch.num_rows - 1:
+                continue
+            names = word_names(words)
+            ends = np.cumsum([n for _, n, _ in group])
+            one, two = window_hashes(names) if len(names) >= WINDOW else (names[:0], names[:0])
+            for (rid, n, shared_syms), (syms, low, high), end in zip(group, anchors(names, ends), ends.tolist()):
+                each, back, count = np.unique(syms, return_inverse=True, return_counts=True)
+                shared = ((count > 1) | np.isin(each, np.array(shared_syms or [], np.int64).view(np.uint64)))[back]
+                where = np.flatnonzero(candidates(n, low, high, shared))
+                if len(where):
+                    keys.append(rid)
+                    starts.append(where.astype(np.int32))
+                    ones.append(one[end - n + where].view(np.int64))
+                    twos.append(two[end - n + where].astype(np.int64))
+            group, words = [], []
         offsets = pa.array(np.cumsum([0, *map(len, starts)]), pa.int32())
         flat = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0), kind))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), flat(starts, pa.int32()), flat(ones, pa.int64()), flat(twos, pa.int64())], ["rid", "starts", "ones", "twos"])
@@ -253,9 +262,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     few = spare.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     once = parsed.select("rid", "key", "words", "syms", "vacant").filter(f"words >= {WINDOW}").join(F.broadcast(spare) if few else spare.hint("merge"), "rid", "left_anti")
 
-    symbols = once.select("rid", F.posexplode("syms").alias("at", "sym"))
+    symbols = once.select("rid", F.explode("syms").alias("sym"))
     shared = symbols.groupBy("sym").agg(F.count("*").alias("n")).filter("n > 1").select("sym")
-    found = materialize(symbols.join(shared, "sym").groupBy("rid").agg(F.collect_list("at").alias("at")), "shared")
+    found = materialize(symbols.join(shared, "sym").groupBy("rid").agg(F.collect_list("sym").alias("at")), "shared")
     marked = once.select("rid", "key", "vacant").join(found, "rid", "left").filter("vacant or at is not null")
     marked = materialize(marked.select("rid", "key", "at"), "marked")
     texts = _among(keyed.select("key", "text"), marked.select("key")).dropDuplicates(["key"])
