@@ -52,6 +52,44 @@ def test_large_blocks_are_dealt(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == sorted(g[0] for g in groups)
 
 
+def edited(rng, text, edits):
+    """text with edits of its words, each in shingles of its own."""
+    text = list(text)
+    for at in (rng.choice(len(text) // 10, edits, replace=False) * 10 + 5).tolist():
+        text[at] = f"e{rng.integers(1 << 60)}"
+    return text
+
+
+def least_of_groups(rows):
+    """The least id of every component of texts of similarity 0.8, all pairs compared."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for r, (i, _) in zip(root, rows):
+        least[r] = min(i, least.get(r, i))
+    return sorted(least.values())
+
+
+def test_stars_and_chains_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(8):
+        star = [f"w{x}" for x in rng.integers(0, 1 << 40, 100)]
+        rows += [(g * 100 + c, " ".join(edited(rng, star, 2))) for c in range(14)] + [(g * 100 + 99, " ".join(star))]
+        chain = [f"w{x}" for x in rng.integers(0, 1 << 40, 100)]
+        for c in range(14):
+            rows.append((10_000 + g * 100 + c, " ".join(chain)))
+            chain = edited(rng, chain, 2)
+    expected = least_of_groups(rows)
+    assert len(expected) == 16
+    monkeypatch.setattr(simhash, "MEMBERS", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
+
+
 def test_pipeline_runs_on_odd_rows(spark, tmp_path):
     rng = np.random.default_rng(10)
     vocabulary = [f"word{i}" for i in range(500)]

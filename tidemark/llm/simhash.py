@@ -172,15 +172,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
 #: For similar texts rather than equal fingerprints: how alike the sets of shingles must be, the bits in which
 #: fingerprints of such sets differ at most (9.7 on average at 0.8, with a deviation of 2.9), the least hashes of a
 #: text that name its blocks, the least that estimate likeness (exactly, for texts of so many shingles), and the
-#: members of a block that one task compares.
+#: members of a tile of a block; a task compares two tiles.
 SIMILARITY = 0.8
 RADIUS = 22
 NAMES = 4
 SKETCH = 128
 MEMBERS = 8_000
 
-_MEMBER = "block bigint, n bigint, sig bigint, fp bigint, size int, sketch binary, links array<bigint>"
-
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Resemblance of two sets by their SKETCH least hashes."""
@@ -239,20 +237,19 @@ class Block:
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members sorted by block (and salt) -> the same with their links to members before them."""
+    """Members sorted by block and pair of tiles -> their links (u, v) to members before them."""
     claim("simhash")
     last, block = None, Block()
     for batch in batches:
-        where = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+        where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
         sigs, sizes, sketches = (batch.column(i).to_pylist() for i in (3, 5, 6))
         fps = batch.column(4).to_numpy().view(np.uint64)
         table, out = distance_table(fps), []
         for k, place in enumerate(where):
             if place != last:
                 last, block = place, Block()
-            out.append(block.add(sigs[k], fps[k], table[k], sizes[k], np.frombuffer(sketches[k], "<u8")))
-        keep = [batch.column(i) for i in (0, 1, 3, 4, 5, 6)]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.int64()))], ["block", "n", "sig", "fp", "size", "sketch", "links"])
+            out += [(sigs[k], v) for v in block.add(sigs[k], fps[k], table[k], sizes[k], np.frombuffer(sketches[k], "<u8"))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
 def _signatures(words: int):
@@ -278,8 +275,8 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     Texts with the same set of shingles are one. Others meet in blocks named by their least shingle hashes (of four
     names, two texts at 0.8 miss each other once in some hundreds of times). In a block, the pivot table and the
     fingerprints discard pairs, and sketches of the shingles verify those whose texts are not yet in one cluster; links
-    kept are one for each pair of clusters that meet. A block of over ``MEMBERS`` is dealt to several tasks; the first
-    members of their clusters then meet. Null ids stay last; texts without words are alike.
+    kept are one for each pair of clusters that meet. A block of over ``MEMBERS`` is cut into tiles, and every two
+    tiles meet in a task. Null ids stay last; texts without words are alike.
     """
     bounded_batches(docs.sparkSession)
     marked = docs.select(F.col(rid).alias("rid"), text_col).mapInArrow(_signatures(words), "rid bigint, sig bigint, fp bigint, size int, names array<bigint>, sketch binary")
@@ -288,11 +285,12 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     names = distinct.select("sig", F.explode("names").alias("block"))
     blocks = names.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
     members = names.join(blocks, "block").join(distinct.drop("names"), "sig")
-    dealt = members.select("block", "n", F.pmod(F.xxhash64("sig"), F.ceil(F.col("n") / MEMBERS)).alias("salt"), "sig", "fp", "size", "sketch")
-    linked = materialize(dealt.repartition("block", "salt").sortWithinPartitions("block", "salt", "size", "sig").mapInArrow(_link, _MEMBER), "linked")
-    met = linked.filter((F.col("n") > MEMBERS) & (F.size("links") == 0)).select("block", "n", F.lit(0).cast("long").alias("salt"), "sig", "fp", "size", "sketch")
-    met = met.repartition("block").sortWithinPartitions("block", "size", "sig").mapInArrow(_link, _MEMBER)
-    stars = graph.components(linked.unionByName(met).select(F.col("sig").alias("u"), F.explode("links").alias("v")))
+    tiled = members.withColumn("tiles", F.ceil(F.col("n") / MEMBERS)).withColumn("own", F.pmod(F.xxhash64("sig"), "tiles"))
+    others = F.when(F.col("tiles") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own"))).otherwise(F.array("own"))
+    tiled = tiled.withColumn("other", F.explode(others))
+    dealt = tiled.select("block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("with"), "sig", "fp", "size", "sketch")
+    linked = dealt.repartition("block", "tile", "with").sortWithinPartitions("block", "tile", "with", "size", "sig").mapInArrow(_link, "u bigint, v bigint")
+    stars = graph.components(linked)
     rooted = marked.select("rid", "sig").join(docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id")), "rid").join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("rid"))
     staying = rooted.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.rid").alias("rid"), F.lit(True).alias("stays"))
