@@ -90,6 +90,18 @@ def test_stars_and_chains_in_tiles(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
 
 
+def test_repeated_lines_do_not_part_near_copies(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for g in range(40):
+        text, line = ([f"w{x}" for x in rng.integers(0, 1 << 40, n)] for n in (100, 8))
+        rows += [(g * 10, " ".join(text + line * 2)), (g * 10 + 1, " ".join(edited(rng, text, 1) + line * 60))]
+    expected = least_of_groups(rows)
+    assert len(expected) == 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
+
+
 def test_pipeline_runs_on_odd_rows(spark, tmp_path):
     rng = np.random.default_rng(10)
     vocabulary = [f"word{i}" for i in range(500)]

@@ -169,12 +169,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     return classes(materialize(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "simhash"), id_col=id_col)
 
 
-#: For similar texts rather than equal fingerprints: how alike the sets of shingles must be, the bits in which
-#: fingerprints of such sets differ at most (9.7 on average at 0.8, with a deviation of 2.9), the least hashes of a
+#: For similar texts rather than equal fingerprints: how alike the sets of shingles must be, the least hashes of a
 #: text that name its blocks, the least that estimate likeness (exactly, for texts of so many shingles), and the
 #: members of a tile of a block; a task compares two tiles.
 SIMILARITY = 0.8
-RADIUS = 22
 NAMES = 4
 SKETCH = 128
 MEMBERS = 8_000
@@ -187,16 +185,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Block:
-    """The members of a block so far: fingerprints, their rows of the pivot table, sizes, sketches, clusters."""
+    """The members of a block so far: sizes, sketches, clusters."""
 
     def __init__(self):
         self.n, self.room = 0, 4
-        self.fp, self.size, self.cluster, self.sig = np.zeros(4, np.uint64), np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64)
-        self.table = np.zeros((4, PIVOTS), np.int8)
+        self.size, self.cluster, self.sig = np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64)
         self.sketch = np.zeros((4, SKETCH), np.uint64)
 
     def _grow(self) -> None:
-        for name in ("fp", "size", "cluster", "sig", "table", "sketch"):
+        for name in ("size", "cluster", "sig", "sketch"):
             old = getattr(self, name)
             setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         self.room *= 2
@@ -209,13 +206,10 @@ class Block:
         common = ((sketch[place] == theirs) & (np.arange(SKETCH) < lengths[:, None])).sum(1)
         return at[common >= SIMILARITY * np.minimum(SKETCH, lengths + len(sketch) - common)]
 
-    def add(self, sig: int, fp: np.uint64, row: np.ndarray, size: int, sketch: np.ndarray) -> list[int]:
+    def add(self, sig: int, size: int, sketch: np.ndarray) -> list[int]:
         """Links to similar members, one for each cluster that has any."""
         own = slice(0, self.n)
         at = np.flatnonzero((self.size[own] * SIMILARITY <= size) & (size * SIMILARITY <= self.size[own]))
-        for k in range(0, PIVOTS, 8):
-            at = at[(np.abs(self.table[at, k : k + 8] - row[k : k + 8]) <= RADIUS).all(1)]
-        at = at[np.bitwise_count(self.fp[at] ^ fp) <= RADIUS]
         found, joined = [], []
         if len(at):
             at = self._likely(at, sketch)
@@ -228,7 +222,7 @@ class Block:
         if self.n == self.room:
             self._grow()
         k = self.n
-        self.fp[k], self.size[k], self.table[k], self.sig[k], self.cluster[k] = fp, size, row, sig, joined[0] if joined else k
+        self.size[k], self.sig[k], self.cluster[k] = size, sig, joined[0] if joined else k
         self.sketch[k, : len(sketch)] = sketch
         if len(joined) > 1:
             self.cluster[: k + 1][np.isin(self.cluster[: k + 1], joined)] = joined[0]
@@ -242,13 +236,12 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, block = None, Block()
     for batch in batches:
         where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-        sigs, sizes, sketches = (batch.column(i).to_pylist() for i in (3, 5, 6))
-        fps = batch.column(4).to_numpy().view(np.uint64)
-        table, out = distance_table(fps), []
+        sigs, sizes, sketches = (batch.column(i).to_pylist() for i in (3, 4, 5))
+        out = []
         for k, place in enumerate(where):
             if place != last:
                 last, block = place, Block()
-            out += [(sigs[k], v) for v in block.add(sigs[k], fps[k], table[k], sizes[k], np.frombuffer(sketches[k], "<u8"))]
+            out += [(sigs[k], v) for v in block.add(sigs[k], sizes[k], np.frombuffer(sketches[k], "<u8"))]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
@@ -261,10 +254,9 @@ def _signatures(words: int):
                 chunks = list(shingle_hashes(text, words))
                 every = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
                 low = every[:SKETCH]
-                rows.append((xxhash.xxh64_intdigest(every.tobytes(), SEED), _majority(iter(chunks)), len(every), low[:NAMES].view(np.int64).tolist(), low.tobytes()))
-            sig, fp, size, names, sketch = zip(*rows) if rows else [()] * 5
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sig, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *signed, pa.array(size, pa.int32()), pa.array(names, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["rid", "sig", "fp", "size", "names", "sketch"])
+                rows.append((xxhash.xxh64_intdigest(every.tobytes(), SEED), len(every), low[:NAMES].view(np.int64).tolist(), low.tobytes()))
+            sig, size, names, sketch = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(names, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["rid", "sig", "size", "names", "sketch"])
 
     return run
 
@@ -273,22 +265,22 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     """(rid, stays) for every row: of the texts whose word shingles resemble each other, that of the least id stays.
 
     Texts with the same set of shingles are one. Others meet in blocks named by their least shingle hashes (of four
-    names, two texts at 0.8 miss each other once in some hundreds of times). In a block, the pivot table and the
-    fingerprints discard pairs, and sketches of the shingles verify those whose texts are not yet in one cluster; links
+    names, two texts at 0.8 miss each other once in some hundreds of times). In a block, sketches of
+    the shingles verify pairs whose texts are not yet in one cluster; links
     kept are one for each pair of clusters that meet. A block of over ``MEMBERS`` is cut into tiles, and every two
     tiles meet in a task. Null ids stay last; texts without words are alike.
     """
     bounded_batches(docs.sparkSession)
-    marked = docs.select(F.col(rid).alias("rid"), text_col).mapInArrow(_signatures(words), "rid bigint, sig bigint, fp bigint, size int, names array<bigint>, sketch binary")
+    marked = docs.select(F.col(rid).alias("rid"), text_col).mapInArrow(_signatures(words), "rid bigint, sig bigint, size int, names array<bigint>, sketch binary")
     marked = materialize(marked, "signatures")
-    distinct = materialize(marked.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("fp", "size", "names", "sketch")]), "distinct")
+    distinct = materialize(marked.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("size", "names", "sketch")]), "distinct")
     names = distinct.select("sig", F.explode("names").alias("block"))
     blocks = names.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
     members = names.join(blocks, "block").join(distinct.drop("names"), "sig")
     tiled = members.withColumn("tiles", F.ceil(F.col("n") / MEMBERS)).withColumn("own", F.pmod(F.xxhash64("sig"), "tiles"))
     others = F.when(F.col("tiles") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own"))).otherwise(F.array("own"))
     tiled = tiled.withColumn("other", F.explode(others))
-    dealt = tiled.select("block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("with"), "sig", "fp", "size", "sketch")
+    dealt = tiled.select("block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("with"), "sig", "size", "sketch")
     linked = dealt.repartition("block", "tile", "with").sortWithinPartitions("block", "tile", "with", "size", "sig").mapInArrow(_link, "u bigint, v bigint")
     stars = graph.components(linked)
     rooted = marked.select("rid", "sig").join(docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id")), "rid").join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
