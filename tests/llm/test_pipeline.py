@@ -88,6 +88,9 @@ def test_stars_and_chains_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEMBERS", 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
+    monkeypatch.setattr(simhash, "MEMBERS", 8000)
+    monkeypatch.setattr(simhash, "SHINGLES", 300, raising=False)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
 
 
 def test_repeated_lines_do_not_part_near_copies(spark):
@@ -102,6 +105,36 @@ def test_repeated_lines_do_not_part_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
 
 
+def test_long_texts_at_the_threshold(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for g in range(80):
+        text = [f"w{x}" for x in rng.integers(0, 1 << 40, 600)]
+        rows += [(g * 10, " ".join(text)), (g * 10 + 1, " ".join(edited(rng, text, 13 + g % 2)))]  # 0.803 or 0.790
+    expected = least_of_groups(rows)
+    assert len(expected) == 80 + 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
+
+
+def test_similar_sets_match_brute_force():
+    rng = np.random.default_rng(15)
+    for n, alphabet in ((1, 5), (30, 12), (120, 40), (60, 400)):
+        sets = [np.unique(rng.integers(0, alphabet, rng.integers(1, 40)).astype(np.uint64)) for _ in range(n)]
+        sets += [np.union1d(x[: len(x) - len(x) // 6], rng.integers(0, 1 << 60, len(x) // 9).astype(np.uint64)) for x in sets]
+        groups = lambda pairs: brute_groups(len(sets), pairs)
+        true = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        got = simhash.similar(sets)
+        assert set(got) <= set(true) and groups(got) == groups(true)
+
+
+def brute_groups(n, pairs):
+    root = list(range(n))
+    for i, j in pairs:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
 def test_pipeline_runs_on_odd_rows(spark, tmp_path):
     rng = np.random.default_rng(10)
     vocabulary = [f"word{i}" for i in range(500)]

@@ -170,93 +170,81 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
 
 
 #: For similar texts rather than equal fingerprints: how alike the sets of shingles must be, the least hashes of a
-#: text that name its blocks, the least that estimate likeness (exactly, for texts of so many shingles), and the
-#: members of a tile of a block; a task compares two tiles.
+#: text that name its blocks, and the members and shingles of a tile of a block; a task compares two tiles.
 SIMILARITY = 0.8
 NAMES = 4
-SKETCH = 128
 MEMBERS = 8_000
+SHINGLES = 2_000_000
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Resemblance of two sets by their SKETCH least hashes."""
-    both = np.union1d(a, b)[:SKETCH]
-    return np.intersect1d(both, np.intersect1d(a, b, True), True).size / max(1, both.size)
-
-
-class Block:
-    """The members of a block so far: sizes, sketches, clusters."""
-
-    def __init__(self):
-        self.n, self.room = 0, 4
-        self.size, self.cluster, self.sig = np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64)
-        self.sketch = np.zeros((4, SKETCH), np.uint64)
-
-    def _grow(self) -> None:
-        for name in ("size", "cluster", "sig", "sketch"):
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.room *= 2
-
-    def _likely(self, at: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-        """Of the members at, those whose sketch has enough in common with this one to be similar."""
-        theirs = self.sketch[at]
-        place = np.minimum(np.searchsorted(sketch, theirs), len(sketch) - 1)
-        lengths = np.minimum(self.size[at], SKETCH)
-        common = ((sketch[place] == theirs) & (np.arange(SKETCH) < lengths[:, None])).sum(1)
-        return at[common >= SIMILARITY * np.minimum(SKETCH, lengths + len(sketch) - common)]
-
-    def add(self, sig: int, size: int, sketch: np.ndarray) -> list[int]:
-        """Links to similar members, one for each cluster that has any."""
-        own = slice(0, self.n)
-        at = np.flatnonzero((self.size[own] * SIMILARITY <= size) & (size * SIMILARITY <= self.size[own]))
-        found, joined = [], []
-        if len(at):
-            at = self._likely(at, sketch)
-            for c in np.unique(self.cluster[at]).tolist():
-                for i in at[self.cluster[at] == c].tolist():
-                    if likeness(self.sketch[i, : min(SKETCH, self.size[i])], sketch) >= SIMILARITY:
-                        found.append(int(self.sig[i]))
-                        joined.append(c)
-                        break
-        if self.n == self.room:
-            self._grow()
-        k = self.n
-        self.size[k], self.sig[k], self.cluster[k] = size, sig, joined[0] if joined else k
-        self.sketch[k, : len(sketch)] = sketch
+def _set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, each once, sorted."""
+    chunks = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
+
+
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Indices of pairs of similar sets, enough to connect all that are similar.
+
+    Every set's hashes are looked up among those of the sets before it, which counts what it has in common with each.
+    """
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), size)[order]
+    upto = np.empty_like(order)
+    upto[order] = np.arange(len(order))
+    since = np.concatenate([[0], np.cumsum(np.bincount(ids))])[ids]
+    cluster, found = np.arange(len(sets)), []
+    for k in range(1, len(sets)):
+        low, high = since[at[k] : at[k + 1]], upto[at[k] : at[k + 1]]
+        some = high > low
+        if not some.any():
+            continue
+        common = np.bincount(np.concatenate([holders[i:j] for i, j in zip(low[some].tolist(), high[some].tolist())]), minlength=k)
+        like = np.flatnonzero(common >= SIMILARITY * (size[:k] + size[k] - common))
+        joined, first = np.unique(cluster[like], return_index=True)
+        found += [(k, i) for i in like[first].tolist()]
+        if len(joined):
+            cluster[k] = joined[0]
         if len(joined) > 1:
-            self.cluster[: k + 1][np.isin(self.cluster[: k + 1], joined)] = joined[0]
-        self.n += 1
-        return found
-
-
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members sorted by block and pair of tiles -> their links (u, v) to members before them."""
-    claim("simhash")
-    last, block = None, Block()
-    for batch in batches:
-        where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-        sigs, sizes, sketches = (batch.column(i).to_pylist() for i in (3, 4, 5))
-        out = []
-        for k, place in enumerate(where):
-            if place != last:
-                last, block = place, Block()
-            out += [(sigs[k], v) for v in block.add(sigs[k], sizes[k], np.frombuffer(sketches[k], "<u8"))]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+            cluster[:k][np.isin(cluster[:k], joined)] = joined[0]
+    return found
+
+
+def _link(words: int):
+    """Members sorted by block and pair of tiles -> links (u, v) between the similar ones."""
+
+    def links_of(sigs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = similar(sets)
+        return pa.RecordBatch.from_arrays([pa.array([sigs[x[i]] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
+        last, sigs, sets = None, [], []
+        for batch in batches:
+            for *place, sig, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != last:
+                    if len(sigs) > 1:
+                        yield links_of(sigs, sets)
+                    last, sigs, sets = place, [], []
+                sigs.append(sig)
+                sets.append(_set(text, words))
+        if len(sigs) > 1:
+            yield links_of(sigs, sets)
+
+    return run
 
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                chunks = list(shingle_hashes(text, words))
-                every = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
-                low = every[:SKETCH]
-                rows.append((xxhash.xxh64_intdigest(every.tobytes(), SEED), len(every), low[:NAMES].view(np.int64).tolist(), low.tobytes()))
-            sig, size, names, sketch = zip(*rows) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(names, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["rid", "sig", "size", "names", "sketch"])
+            sets = [_set(text, words) for text in batch.column(1).to_pylist()]
+            sig = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+            names = pa.array([x[:NAMES].view(np.int64).tolist() for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), names], ["rid", "sig", "size", "names"])
 
     return run
 
@@ -265,23 +253,23 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     """(rid, stays) for every row: of the texts whose word shingles resemble each other, that of the least id stays.
 
     Texts with the same set of shingles are one. Others meet in blocks named by their least shingle hashes (of four
-    names, two texts at 0.8 miss each other once in some hundreds of times). In a block, sketches of
-    the shingles verify pairs whose texts are not yet in one cluster; links
-    kept are one for each pair of clusters that meet. A block of over ``MEMBERS`` is cut into tiles, and every two
-    tiles meet in a task. Null ids stay last; texts without words are alike.
+    names; the README has how often two texts at 0.8 miss each other). In a block, the whole sets of shingle hashes,
+    made again from the texts, decide for every pair; links kept are one for each pair of clusters that meet. A block
+    of over ``MEMBERS`` texts or ``SHINGLES`` shingles is cut into tiles, and every two tiles meet in a task. Null ids
+    stay last; texts without words are alike.
     """
     bounded_batches(docs.sparkSession)
-    marked = docs.select(F.col(rid).alias("rid"), text_col).mapInArrow(_signatures(words), "rid bigint, sig bigint, size int, names array<bigint>, sketch binary")
+    marked = docs.select(F.col(rid).alias("rid"), text_col).mapInArrow(_signatures(words), "rid bigint, sig bigint, size int, names array<bigint>")
     marked = materialize(marked, "signatures")
-    distinct = materialize(marked.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("size", "names", "sketch")]), "distinct")
-    names = distinct.select("sig", F.explode("names").alias("block"))
-    blocks = names.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
-    members = names.join(blocks, "block").join(distinct.drop("names"), "sig")
-    tiled = members.withColumn("tiles", F.ceil(F.col("n") / MEMBERS)).withColumn("own", F.pmod(F.xxhash64("sig"), "tiles"))
+    distinct = materialize(marked.groupBy("sig").agg(F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("size", "names")]), "distinct")
+    names = distinct.select("sig", "rid", "size", F.explode("names").alias("block"))
+    tiles = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / SHINGLES))
+    blocks = names.groupBy("block").agg(F.count("*").alias("n"), tiles.alias("tiles")).filter("n > 1")
+    members = names.join(blocks, "block").withColumn("own", F.pmod(F.xxhash64("sig"), "tiles"))
     others = F.when(F.col("tiles") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own"))).otherwise(F.array("own"))
-    tiled = tiled.withColumn("other", F.explode(others))
-    dealt = tiled.select("block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("with"), "sig", "size", "sketch")
-    linked = dealt.repartition("block", "tile", "with").sortWithinPartitions("block", "tile", "with", "size", "sig").mapInArrow(_link, "u bigint, v bigint")
+    dealt = members.withColumn("other", F.explode(others)).select("rid", "block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("with"), "sig")
+    dealt = dealt.join(docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text")), "rid").select("block", "tile", "with", "sig", "text")
+    linked = dealt.repartition("block", "tile", "with").sortWithinPartitions("block", "tile", "with", "sig").mapInArrow(_link(words), "u bigint, v bigint")
     stars = graph.components(linked)
     rooted = marked.select("rid", "sig").join(docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id")), "rid").join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("rid"))
