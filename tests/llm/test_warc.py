@@ -35,5 +35,20 @@ def test_round_trip(spark, split):
     assert sorted(map(tuple, got), key=repr) == expected(rows)
 
 
+@pytest.mark.parametrize("split", ["128m", "3k"])
+def test_long_url(spark, split):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(5)] + [(5, "http://h/" + "x" * 20_000, "long url")] + [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(6, 12)]
+    rows += [(12, "http://h/" + "é" * 200_000, "longer " * 300)] + [(i, "WARC-Type: x Content-Length: 3", f"<p>{i}</p>") for i in range(13, 20)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+        got = warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == expected(rows)
+    assert {r.page_id: r.url for r in got} == {i: url for i, url, _ in rows}
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -87,21 +87,19 @@ def _field(head: Column, name: str) -> Column:
 def _parsed(pieces: DataFrame) -> DataFrame:
     """A row a piece: its place, length and hash, and what its header says, if it has one."""
     raw, head = F.col("value").cast("binary"), F.substring_index("value", BLANK, 1)
-    # A header is short; what lies behind the first kilobytes is never looked at for one.
-    lines = F.substring(F.substring_index("value", BLANK, 1), 1, 8192)
     out = pieces.withColumn("mid", F.monotonically_increasing_id()).withColumn("size", F.octet_length("value").cast("long"))
     out = out.withColumn("head", F.octet_length(head).cast("long") + 4).withColumn("http", F.octet_length(F.substring_index("value", BLANK, 2)).cast("long") - F.col("head") + 4)
-    length = _field(lines, "Content-Length").try_cast("long")
-    out = out.withColumn("content", F.when(F.length(_field(lines, "WARC-Type")) > 0, length))
+    length = _field(head, "Content-Length").try_cast("long")
+    out = out.withColumn("content", F.when(F.length(_field(head, "WARC-Type")) > 0, length))
     whole = F.col("head") + F.col("content") + 4 == F.col("size")
     body = F.substring(raw, (F.col("head") + F.col("http") + 1).cast("int"), (F.col("content") - F.col("http")).cast("int"))
-    http_lines = F.substring(F.substring_index(F.substring_index("value", BLANK, 2), BLANK, -1), 1, 8192)
+    http_lines = F.substring_index(F.substring_index("value", BLANK, 2), BLANK, -1)
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?[0-9]+)>", 1).try_cast("long")
     return out.select(
         "file", "block", "mid", "size", "head", "http", "content", F.xxhash64("value").alias("hash"), F.coalesce(whole, F.lit(False)).alias("whole"),
-        F.when(whole, F.sha1(body)).alias("sha1"), _field(lines, "WARC-Type").alias("record_type"), number(_field(lines, "WARC-Record-ID")).alias("page_id"),
-        number(_field(lines, "WARC-Refers-To")).alias("refers_to"), F.regexp_extract(_field(lines, "WARC-Payload-Digest"), "sha1:([0-9a-f]+)", 1).alias("stated"),
-        _field(http_lines, "Content-Length").try_cast("long").alias("payload_bytes"), _field(lines, "WARC-Target-URI").alias("url"),
+        F.when(whole, F.sha1(body)).alias("sha1"), _field(head, "WARC-Type").alias("record_type"), number(_field(head, "WARC-Record-ID")).alias("page_id"),
+        number(_field(head, "WARC-Refers-To")).alias("refers_to"), F.regexp_extract(_field(head, "WARC-Payload-Digest"), "sha1:([0-9a-f]+)", 1).alias("stated"),
+        _field(http_lines, "Content-Length").try_cast("long").alias("payload_bytes"), _field(head, "WARC-Target-URI").alias("url"),
     )
 
 
