@@ -26,6 +26,12 @@ def test_backoff_gets_shorter():
     assert model.predict("abcx", words)[0] == "aa" and model.predict("z", words)[0] == "bb"
 
 
+def test_every_language_of_the_sample_is_learned(spark):
+    model = model_of(spark, [(i, f"{chr(0x4E00 + i) * 3} " * (130 - i), f"l{i:03}") for i in range(120)])
+    assert model.languages == [f"l{i:03}" for i in range(120)]
+    assert model.predict(chr(0x4E00 + 119) * 3, langid.Cache(model.word))[0] == "l119"
+
+
 def test_nothing_learned(spark):
     model = model_of(spark, [])
     got = langid.identify(spark.createDataFrame([(1, "words")], "doc_id long, text string"), model).collect()

@@ -32,7 +32,6 @@ from tidemark.llm.common import Cache, bounded_batches, claim
 
 SAMPLE = 8000
 WORDS = 20_000
-LANGUAGES = 100
 NGRAMS = (4, 3, 2, 1)
 #: Counts a word needs in training to be known; below, its n-grams speak for it.
 KNOWN = 3
@@ -112,8 +111,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     drawn = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / max(1, n)))
     words = drawn.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}]+")).alias("word")).filter("word != ''")
     counts = words.groupBy("lang", "word").count()
-    langs = counts.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    top = counts.join(F.broadcast(langs), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("k") <= WORDS)
+    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("k") <= WORDS)
     out: dict[str, dict[str, int]] = defaultdict(Counter)
     for lang, word, count in zip(*[c.to_pylist() for c in top.select("lang", "word", "count").toArrow().columns]):
         out[lang][word] = count
