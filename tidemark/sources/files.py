@@ -51,10 +51,6 @@ class Files:
         fs, p = self._at(path)
         return (self.jvm.System.currentTimeMillis() - fs.getFileStatus(p).getModificationTime()) / 1000
 
-    def copy(self, source: str, target: str) -> None:
-        (a, p), (b, q) = self._at(source), self._at(target)
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, self.conf)
-
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

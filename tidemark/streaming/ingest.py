@@ -12,17 +12,12 @@ from tidemark.sources.series import Series
 def into_series(stream: DataFrame, series: Series, checkpoint: str, *, refresh: list[Rollup] | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Write a stream's rows to a series; no watermark drops late rows, their buckets are made anew.
 
-    A micro-batch that is retried after a failure is not inserted twice: the catalog remembers the last batch of each
-    checkpoint.
+    A micro-batch that is retried after a failure is not inserted twice: its rows and its number become known in one
+    change of the catalog, which remembers the last batch of each checkpoint.
     """
 
     def insert(rows: DataFrame, batch: int) -> None:
-        done = series.catalog.read().get("batches", {}).get(checkpoint, -1)
-        if batch <= done:
-            return
-        if not rows.isEmpty():
-            series.insert(rows)
-        series.catalog.change(lambda doc: doc.setdefault("batches", {}).__setitem__(checkpoint, batch))
+        series.insert(rows, batch=(checkpoint, batch))
         for r in refresh or []:
             r.refresh()
 
