@@ -23,6 +23,26 @@ def last(value: Column | str, at: Column | str) -> Column:
     return F.max_by(value, at)
 
 
+def first_state(value: Column | str, at: Column | str) -> Column:
+    """What ``first`` needs to be merged: struct(at, value) of the earliest row; null if no row has ``at``."""
+    c, t = (F.col(x) if isinstance(x, str) else x for x in (value, at))
+    return F.min_by(F.struct(t.alias("at"), c.alias("value")), t)
+
+
+def last_state(value: Column | str, at: Column | str) -> Column:
+    c, t = (F.col(x) if isinstance(x, str) else x for x in (value, at))
+    return F.max_by(F.struct(t.alias("at"), c.alias("value")), t)
+
+
+def merge_first(state: str) -> Column:
+    """The state of the earliest row of several states; its ``value`` is what ``first`` would give of all rows."""
+    return F.min_by(F.col(state), F.col(f"{state}.at"))
+
+
+def merge_last(state: str) -> Column:
+    return F.max_by(F.col(state), F.col(f"{state}.at"))
+
+
 def _slot(value: Column, low: float, high: float, n: int) -> Column:
     v = value.cast("double")
     inside = F.least(F.greatest((F.lit(float(n)) * ((v - low) / F.lit(high - low))).cast("long") + 1, F.lit(1)), F.lit(n))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ def gapfill(spark: SparkSession, width, start, finish, *, origin=None, zone: str
 
     start and finish are datetimes (without a zone: in UTC, or as written for ``ntz``), dates, or whole numbers.
     """
-    if start is None or finish is None:
-        raise ValueError("a gap has two ends")
+    if any(x is None or (isinstance(x, float) and not math.isfinite(x)) for x in (start, finish)):
+        raise ValueError("a gap has two ends, both finite")
     if kind in ("long", "int"):
         first = start - (start - (origin or 0)) % width
         n = max(0, -(-(finish - first) // width))

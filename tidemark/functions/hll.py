@@ -8,14 +8,19 @@ estimates. Merged sketches equal the sketch of the union exactly.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark import reachable
+
 TYPE = "struct<precision:int,registers:binary>"
+#: Groups whose sketches a task holds before it emits them all.
+GROUPS = 2_000
 
 
 def _check(bits: int) -> None:
@@ -25,6 +30,7 @@ def _check(bits: int) -> None:
 
 def _assemble(maxima: DataFrame, keys: list[str], name: str) -> DataFrame:
     """maxima: keys, _p, _i, _rho (null where a group has no value)."""
+    reachable(maxima.sparkSession)
 
     @pandas_udf("binary")
     def registers(p: pd.Series, i: pd.Series, rho: pd.Series) -> bytes:
@@ -49,13 +55,43 @@ def distinct_sketch(df: DataFrame, keys: list[str], value: str, bits: int = 12,
 
 
 def merge(df: DataFrame, keys: list[str], sketch: str = "sketch") -> DataFrame:
-    """The union of the sketches of each group; nulls are skipped, different precisions are an error."""
-    rows = df.filter(F.col(sketch).isNotNull()).select(*keys, F.col(f"{sketch}.precision").alias("_p"), F.hex(f"{sketch}.registers").alias("_h"))
-    spots = F.expr("sequence(0, shiftleft(1, _p) - 1)")
-    each = rows.withColumn("_i", F.explode(spots)).withColumn("_rho", F.conv(F.expr("substring(_h, 2 * _i + 1, 2)"), 16, 10).cast("int"))
-    peak = each.groupBy(*keys, "_i").agg(F.max("_rho").alias("_rho"), F.max("_p").alias("_p"), F.min("_p").alias("_least"))
-    same = F.when(F.col("_p") == F.col("_least"), F.col("_p")).otherwise(F.raise_error(F.lit("sketches of different precisions do not merge")).cast("int"))
-    return _assemble(peak.withColumn("_p", same).withColumn("_i", F.col("_i").cast("long")), keys, sketch)
+    """The union of the sketches of each group; nulls are skipped, different precisions are an error.
+
+    Tasks first take the maxima of the registers of all sketches that they see of a group.
+    """
+    reachable(df.sparkSession)
+    names = [*[f"k{i}" for i in range(len(keys))], "p", "r"]
+    rows = df.filter(F.col(sketch).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(f"{sketch}.precision").alias("p"), F.col(f"{sketch}.registers").alias("r"))
+
+    def peak(some: Iterable[tuple[int, bytes]]) -> tuple[int, bytes]:
+        bits, top = None, None
+        for p, r in some:
+            if bits is not None and p != bits:
+                raise ValueError("sketches of different precisions do not merge")
+            own = np.frombuffer(r, np.uint8)
+            if len(own) != 1 << p:
+                raise ValueError("a sketch's registers do not fit its precision")
+            bits, top = p, own.copy() if top is None else np.maximum(top, own, out=top)
+        return bits, top.tobytes()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[int, bytes]] = {}
+        out = lambda: pd.DataFrame([(*k, *v) for k, v in held.items()], columns=names)
+        for batch in batches:
+            for *key, p, r in batch.itertuples(index=False, name=None):
+                key = tuple(None if pd.isna(x) else x for x in key)
+                held[key] = peak([held[key], (p, r)]) if key in held else peak([(p, r)])
+            if len(held) > GROUPS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    def together(found: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*found.iloc[0][names[:-2]], *peak(zip(found["p"], found["r"]))]], columns=names)
+
+    merged = rows.mapInPandas(partial, rows.schema).groupBy(*names[:-2]).applyInPandas(together, rows.schema)
+    return merged.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.struct(F.col("p").alias("precision"), F.col("r").alias("registers")).alias(sketch))
 
 
 def estimate(registers: bytes, bits: int) -> int:
@@ -66,37 +102,31 @@ def estimate(registers: bytes, bits: int) -> int:
     counts = np.bincount(np.frombuffer(registers, np.uint8), minlength=q + 2)
     if len(counts) > q + 2:
         raise ValueError("a register is over its largest value")
-    if counts[0] == m:
+    # Ertl, "New cardinality estimation algorithms for HyperLogLog sketches" (2017), algorithm 6.
+    empty, full = counts[0] / m, 1 - counts[q + 1] / m
+    if empty == 1:
         return 0
-    # tau and sigma are the series for registers at their end and at zero.
-    share = 1 - counts[q + 1] / m
-    tau = 0.0
-    if 0 < share < 1:
-        x, y, tau = share, 1.0, 1 - share
-        while True:
-            x, before = math.sqrt(x), tau
-            y *= 0.5
-            tau -= (1 - x) ** 2 * y
-            if tau == before:
-                break
-        tau /= 3
-    z = m * tau
-    for k in range(q, 0, -1):
-        z = 0.5 * (z + counts[k])
-    share = counts[0] / m
-    sigma, x, y = share, share, 1.0
-    while True:
-        x, before = x * x, sigma
-        sigma += x * y
-        y += y
-        if sigma == before or not math.isfinite(sigma):
-            break
-    z += m * sigma
-    return round(m * m / (2 * math.log(2)) / z)
+    middle = float((counts[1 : q + 1] * 0.5 ** np.arange(1, q + 1)).sum())
+    return round(m * m / (2 * math.log(2)) / (m * _tau(full) * 0.5**q + middle + m * _sigma(empty)))
+
+
+def _sigma(x: float) -> float:
+    """x + the sum over k of x^(2^k) 2^(k-1), for registers that saw nothing (x < 1)."""
+    k = np.arange(1, 65)
+    return x + float(((x ** (2.0**k)) * 2.0 ** (k - 1)).sum())
+
+
+def _tau(x: float) -> float:
+    """(1 - x - the sum over k of (1 - x^(2^-k))^2 2^-k) / 3, for registers that are full."""
+    if x in (0.0, 1.0):
+        return 0.0
+    k = np.arange(1, 65)
+    return (1 - x - float(((1 - x ** (2.0**-k)) ** 2 * 2.0**-k).sum())) / 3
 
 
 def distinct_count(sketch: Column | str) -> Column:
     """The estimated number of distinct values."""
+    reachable(SparkSession.active())
 
     @pandas_udf("bigint")
     def count(found: pd.DataFrame) -> pd.Series:

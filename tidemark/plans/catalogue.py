@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import version
 from tidemark.functions import aggregates as A
 from tidemark.functions import fill, hll, sqlnames, tdigest
-from tidemark.functions.bucket import bucket, with_bucket
+from tidemark.functions.bucket import bucket, to_utc, with_bucket
 from tidemark.functions.gapfill import gapfill, gapfilled
 from tidemark.operators.joins import AGGREGATES, asof_join, window_join
 from tidemark.operators.lastpoint import last_point
@@ -97,7 +98,80 @@ def bucket_day_new_york(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL '90 minutes', ts) AS b, count(*) AS n FROM events GROUP BY ALL")
 def bucket_sql_name(spark, sf_dir):
     sqlnames.register(spark)
-    return _events(spark, sf_dir).selectExpr("bucket_micros(5400000000, ts) AS b").groupBy("b").agg(F.count("*").alias("n"))
+    return _events(spark, sf_dir).selectExpr("bucket('90 minutes', ts) AS b").groupBy("b").agg(F.count("*").alias("n"))
+
+
+def _utc(ts: str = "ts"):
+    """A timestamp without zone, taken as a clock in UTC, with one."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)))
+
+
+def _by_bucket(rows: DataFrame, b) -> DataFrame:
+    return rows.groupBy(b.alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_utc(spark, sf_dir):
+    return _by_bucket(_events(spark, sf_dir), to_utc(bucket(_utc(), "6 hours", kind="ltz")))
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01 01:30:00') AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_utc_origin(spark, sf_dir):
+    return _by_bucket(_events(spark, sf_dir), to_utc(bucket(_utc(), "6 hours", origin=dt.datetime(2000, 1, 1, 1, 30, tzinfo=dt.timezone.utc), kind="ltz")))
+
+
+_LOCAL = "timezone('UTC', timezone('America/New_York', time_bucket({w}, timezone('America/New_York', timezone('UTC', {ts})), TIMESTAMP '{o}')))"
+
+
+@query(f"SELECT {_LOCAL.format(w='INTERVAL 90 MINUTES', ts='ts', o='2000-01-03')} AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_zone_90_minutes(spark, sf_dir):
+    return _by_bucket(_events(spark, sf_dir), to_utc(bucket(_utc(), "90 minutes", zone="America/New_York", kind="ltz")))
+
+
+@query(f"SELECT {_LOCAL.format(w='INTERVAL 1 DAY', ts='o_orderdate', o='2000-01-01 06:00:00')} AS b, count(*) AS n FROM orders GROUP BY ALL")
+def bucket_zone_origin(spark, sf_dir):
+    return _by_bucket(_table(spark, sf_dir, "orders"), to_utc(bucket(_utc("o_orderdate"), "1 day", zone="America/New_York", origin=dt.datetime(2000, 1, 1, 6), kind="ltz")))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '10 days', CAST(o_orderdate AS DATE), DATE '2000-01-08') AS DATE) AS b, count(*) AS n FROM orders GROUP BY ALL")
+def bucket_date_origin(spark, sf_dir):
+    days = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
+    return _by_bucket(days, bucket("d", "10 days", origin=dt.date(2000, 1, 8), kind="date"))
+
+
+@query("SELECT event_id - event_id % 1000 AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_long(spark, sf_dir):
+    return _by_bucket(_events(spark, sf_dir), bucket(F.col("event_id").cast("long"), 1000, kind="long"))
+
+
+@query("SELECT CAST(user_id - user_id % 20 AS INTEGER) AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_int(spark, sf_dir):
+    return _by_bucket(_events(spark, sf_dir), bucket(F.col("user_id").cast("int"), 20, kind="int"))
+
+
+@query("SELECT CAST(user_id - ((user_id - 7) % 20 + 20) % 20 AS INTEGER) AS b, count(*) AS n FROM events GROUP BY ALL")
+def bucket_int_origin(spark, sf_dir):
+    return _by_bucket(_events(spark, sf_dir), bucket(F.col("user_id").cast("int"), 20, origin=7, kind="int"))
+
+
+def _refused(calls: dict[str, Callable]) -> list[tuple[str, bool]]:
+    """Which of the calls raise a ValueError."""
+    out = []
+    for name, call in calls.items():
+        try:
+            call()
+            out.append((name, False))
+        except ValueError:
+            out.append((name, True))
+    return out
+
+
+_WIDTHS = {"15 minutes": False, "1 year 2 months": False, "1 month 1 day": True, "0 days": True, "1.5 months": True, "2 fortnights": True, "": True}
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{w}{chr(39)}, {str(bad).lower()})' for w, bad in _WIDTHS.items())}) v(width, refused)")
+def width_refusals(spark, sf_dir):
+    return spark.createDataFrame(_refused({w: (lambda w=w: bucket("ts", w)) for w in _WIDTHS}), "width string, refused boolean")
 
 
 # --- gaps ---------------------------------------------------------------------------------------------------------
@@ -118,7 +192,7 @@ def _sparse(spark, sf_dir):
 
 @query(f"WITH {_GRID} SELECT bucket, last_value(v IGNORE NULLS) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM j")
 def gapfill_locf(spark, sf_dir):
-    return _sparse(spark, sf_dir).withColumn("v", fill.locf("v", ["bucket"]))
+    return fill.carried(_sparse(spark, sf_dir), "v", "bucket", slice_width="1 day")
 
 
 _LINE = """
@@ -135,12 +209,12 @@ _LINE = """
 
 @query(_LINE.format(grid=_GRID, x="CAST(epoch_us(bucket) AS DOUBLE)"))
 def gapfill_interpolate_time(spark, sf_dir):
-    return fill.interpolate(_sparse(spark, sf_dir), "v", "bucket", at="bucket").withColumn("v", F.round("v", 6))
+    return fill.interpolate(_sparse(spark, sf_dir), "v", "bucket", at="bucket", slice_width="1 day").withColumn("v", F.round("v", 6))
 
 
 @query(_LINE.format(grid=_GRID, x="CAST(row_number() OVER (ORDER BY bucket) AS DOUBLE)"))
 def gapfill_interpolate_position(spark, sf_dir):
-    return fill.interpolate(_sparse(spark, sf_dir), "v", "bucket").withColumn("v", F.round("v", 6))
+    return fill.interpolate(_sparse(spark, sf_dir), "v", "bucket", slice_width="1 day").withColumn("v", F.round("v", 6))
 
 
 @query("SELECT b AS bucket FROM generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2001-07-01', INTERVAL '3 months') g(b)")
@@ -148,6 +222,36 @@ def gapfill_quarters(spark, sf_dir):
     return gapfill(spark, "3 months", dt.datetime(1996, 2, 10), dt.datetime(2001, 8, 1), kind="ntz")
 
 
+@query("SELECT b AS bucket FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-09 18:00:00', INTERVAL '6 hours') g(b)")
+def gapfill_utc(spark, sf_dir):
+    return gapfill(spark, "6 hours", dt.datetime(2024, 1, 1, 2), dt.datetime(2024, 1, 10)).select(to_utc(F.col("bucket")).alias("bucket"))
+
+
+@query("SELECT b AS bucket FROM generate_series(TIMESTAMP '2023-12-31 19:00:00', TIMESTAMP '2024-01-09 19:00:00', INTERVAL '6 hours') g(b)")
+def gapfill_origin(spark, sf_dir):
+    return gapfill(spark, "6 hours", START, dt.datetime(2024, 1, 10), origin=dt.datetime(2000, 1, 1, 1), kind="ntz")
+
+
+_NEW_YORK = "SELECT timezone('UTC', timezone('America/New_York', d)) AS bucket FROM generate_series(TIMESTAMP '{a}', TIMESTAMP '{b}', INTERVAL '{w}') g(d)"
+
+
+@query(_NEW_YORK.format(a="2024-03-01", b="2024-03-31", w="1 day"))
+def gapfill_zone(spark, sf_dir):
+    return gapfill(spark, "1 day", dt.datetime(2024, 3, 1, 5), dt.datetime(2024, 4, 1, 4), zone="America/New_York").select(to_utc(F.col("bucket")).alias("bucket"))
+
+
+@query(_NEW_YORK.format(a="2024-03-08 18:00:00", b="2024-03-12 18:00:00", w="12 hours"))
+def gapfill_zone_origin(spark, sf_dir):
+    found = gapfill(spark, "12 hours", dt.datetime(2024, 3, 9), dt.datetime(2024, 3, 13), origin=dt.datetime(2000, 1, 1, 6), zone="America/New_York")
+    return found.select(to_utc(F.col("bucket")).alias("bucket"))
+
+
+@query("SELECT * FROM (VALUES ('no start', true), ('no finish', true), ('infinite finish', true), ('both', false)) v(bounds, refused)")
+def gapfill_refusals(spark, sf_dir):
+    calls = {"no start": (None, FINISH), "no finish": (START, None), "infinite finish": (START, float("inf")), "both": (START, FINISH)}
+    return spark.createDataFrame(_refused({n: (lambda b=b: gapfill(spark, "1 day", *b)) for n, b in calls.items()}), "bounds string, refused boolean")
+
+
 # --- aggregates ---------------------------------------------------------------------------------------------------
 
 
@@ -156,6 +260,12 @@ def first_last_by_user(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(A.first("value", "ts").alias("first_value"), A.last("event_type", "ts").alias("last_type"))
 
 
+@query("SELECT user_id, arg_min_null(value, ts) AS first_value, arg_max_null(event_type, ts) AS last_type FROM events GROUP BY 1")
+def first_last_merged_days(spark, sf_dir):
+    days = with_bucket(_events(spark, sf_dir), "ts", "1 day", "day").groupBy("user_id", "day").agg(A.first_state("value", "ts").alias("f"), A.last_state("event_type", "ts").alias("l"))
+    return days.groupBy("user_id").agg(A.merge_first("f").alias("f"), A.merge_last("l").alias("l")).select("user_id", F.col("f.value").alias("first_value"), F.col("l.value").alias("last_type"))
+
+
 _SLOT = "CASE WHEN value >= 300 THEN 11 WHEN value < 10 THEN 0 ELSE least(greatest(CAST(trunc(10 * ((value - 10) / 290)) AS INTEGER) + 1, 1), 10) END"
 _SLOTS = ", ".join(f"count(*) FILTER ({_SLOT} = {i})" for i in range(12))
 
@@ -208,32 +318,74 @@ def agg_rollup_distinct(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.countDistinct("l_suppkey").alias("suppliers"))
 
 
+@query("SELECT event_type, count(*) FILTER (WHERE value > 100) AS large, CAST(sum(user_id) FILTER (WHERE value IS NOT NULL AND user_id % 2 = 0) AS BIGINT) AS even FROM events GROUP BY 1")
+def agg_filter_clause(spark, sf_dir):
+    _views(spark, sf_dir, "events")
+    return spark.sql("SELECT event_type, count(*) FILTER (WHERE value > 100) AS large, sum(user_id) FILTER (WHERE value IS NOT NULL AND user_id % 2 = 0) AS even FROM events GROUP BY 1")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def agg_cube(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+_SETS = "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())"
+
+
+@query(_SETS)
+def agg_grouping_sets(spark, sf_dir):
+    _views(spark, sf_dir, "lineitem")
+    return spark.sql(_SETS)
+
+
 # --- sketches -----------------------------------------------------------------------------------------------------
+# With 18 bits, and as many values as here, the estimate is the exact count; a digest of so many centroids holds every value.
 
 
-@query("SELECT event_type, true AS within_bound FROM events GROUP BY 1")
-def distinct_sketch_ok(spark, sf_dir):
-    events = _events(spark, sf_dir)
-    found = hll.distinct_sketch(events, ["event_type"], "user_id", 14).select("event_type", hll.distinct_count("sketch").alias("n"))
-    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("m"))
-    return found.join(exact, "event_type").select("event_type", (F.abs(F.col("n") - F.col("m")) <= 4 * 1.04 / 128 * F.col("m") + 1).alias("within_bound"))
+@query("SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def distinct_sketch(spark, sf_dir):
+    return hll.distinct_sketch(_events(spark, sf_dir), ["event_type"], "user_id", 18).select("event_type", hll.distinct_count("sketch").alias("n"))
 
 
-@query("SELECT true AS equal_to_whole")
-def sketch_merge_ok(spark, sf_dir):
+@query("SELECT count(DISTINCT user_id) AS n, true AS as_whole FROM events")
+def distinct_merged(spark, sf_dir):
     events = _events(spark, sf_dir)
-    merged = hll.merge(hll.distinct_sketch(events, ["event_type"], "event_id"), []).select(F.col("sketch.registers").alias("a"))
-    return merged.crossJoin(hll.distinct_sketch(events, [], "event_id").select(F.col("sketch.registers").alias("b"))).select((F.col("a") == F.col("b")).alias("equal_to_whole"))  # one row each
+    merged = hll.merge(hll.distinct_sketch(events, ["event_type"], "user_id", 18), []).select(hll.distinct_count("sketch").alias("n"), F.sha2("sketch.registers", 256).alias("a"))
+    whole = hll.distinct_sketch(events, [], "user_id", 18).select(F.sha2("sketch.registers", 256).alias("b"))
+    return merged.crossJoin(whole).select("n", (F.col("a") == F.col("b")).alias("as_whole"))  # one row each
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def distinct_text(spark, sf_dir):
+    found = hll.distinct_sketch(_events(spark, sf_dir), ["event_type"], "user_id", 18).select("event_type", hll.to_text("sketch").alias("t"))
+    return found.select("event_type", hll.from_text("t").alias("sketch")).select("event_type", hll.distinct_count("sketch").alias("n"))
+
+
+@query("SELECT l_suppkey, quantile_disc(l_extendedprice, 0.5) AS v, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1")
+def percentile_one(spark, sf_dir):
+    found = tdigest.percentile_sketch(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 10_000)
+    return found.select("l_suppkey", tdigest.percentile("digest", 0.5).alias("v"), tdigest.sketch_count("digest").alias("n"))
+
+
+@query("SELECT l_suppkey, quantile_disc(l_extendedprice, 0.25) AS low, quantile_disc(l_extendedprice, 0.9) AS high FROM lineitem GROUP BY 1")
+def percentile_merged(spark, sf_dir):
+    parts = tdigest.percentile_sketch(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_extendedprice", 10_000)
+    found = tdigest.merge(parts, ["l_suppkey"]).select("l_suppkey", tdigest.percentile("digest", [0.25, 0.9]).alias("v"))
+    return found.select("l_suppkey", F.col("v")[0].alias("low"), F.col("v")[1].alias("high"))
 
 
-@query("SELECT q, true AS within_bound FROM (VALUES (0.01), (0.1), (0.5), (0.9), (0.99)) v(q)")
-def percentile_sketch_ok(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem")
-    qs = [0.01, 0.1, 0.5, 0.9, 0.99]
-    parts = tdigest.percentile_sketch(lines, ["l_returnflag"], "l_extendedprice")
-    values = tdigest.merge(parts, []).select(tdigest.percentile("digest", qs).alias("v")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), "v")).alias("x")).select("x.q", "x.v")
-    ranks = lines.select("l_extendedprice").join(F.broadcast(values), F.lit(True)).groupBy("q").agg(F.avg((F.col("l_extendedprice") < F.col("v")).cast("int")).alias("rank"))  # five rows
-    return ranks.select(F.col("q").cast("decimal(3,2)").alias("q"), (F.abs(F.col("rank") - F.col("q")) < 0.01).alias("within_bound"))
+@query("SELECT l_suppkey, quantile_disc(l_extendedprice, 0.5) AS v FROM lineitem GROUP BY 1")
+def percentile_text(spark, sf_dir):
+    found = tdigest.percentile_sketch(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 10_000).select("l_suppkey", tdigest.to_text("digest").alias("t"))
+    return found.select("l_suppkey", tdigest.from_text("t").alias("digest")).select("l_suppkey", tdigest.percentile("digest", 0.5).alias("v"))
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, bool_and(l_quantity >= 0) AND min(l_linenumber) = 1 AS least_infinite, true AS most_infinite FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1")
+def digest_infinite(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    odd = lines.withColumn("v", F.when(F.col("l_linenumber") == 1, F.lit(float("-inf"))).when(F.col("l_quantity") > 25, F.lit(float("inf"))).otherwise(F.col("l_extendedprice")))
+    found = tdigest.percentile_sketch(odd, ["l_returnflag"], "v").select("l_returnflag", tdigest.sketch_count("digest").alias("n"), tdigest.percentile("digest", [0.0, 1.0]).alias("q"))
+    return found.select("l_returnflag", "n", (F.col("q")[0] == float("-inf")).alias("least_infinite"), (F.col("q")[1] == float("inf")).alias("most_infinite"))
 
 
 # --- joins in time ------------------------------------------------------------------------------------------------
@@ -331,6 +483,49 @@ def top_k(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(25)
 
 
+def _views(spark, sf_dir, *names):
+    for n in names:
+        _table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def _same(name: str, sql: str, *tables: str, spark_sql: str | None = None, args: dict | None = None) -> None:
+    """A query that both sides run as SQL."""
+
+    def run(spark, sf_dir):
+        _views(spark, sf_dir, *tables)
+        return sqlnames.sql(spark, spark_sql) if spark_sql else spark.sql(sql, args=args)
+
+    query(sql, name)(run)
+
+
+_same("rel_like_or", "SELECT event_id, upper(event_type) AS kind FROM events WHERE event_type LIKE 'c%' OR (value > 200 AND user_id % 3 = 1)", "events")
+_same("rel_semi_join", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "customer", "orders")
+_same("rel_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation", "region", "nation")
+_same("rel_theta_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
+_same("rel_lateral", "SELECT n_name, x.c_custkey, x.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) x", "nation", "customer")
+_same("rel_ranking", "SELECT event_id, CAST(rank() OVER w AS INTEGER) AS r, CAST(ntile(4) OVER w AS INTEGER) AS q, lag(event_id, 1) OVER w AS before FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)", "events")
+_same("rel_set_operations", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)", "customer", "supplier", "nation")
+_same("rel_recursive", "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 50) SELECT n, total FROM t", "region")
+_same("sql_gapfill", "SELECT b AS bucket FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-01 23:45:00', INTERVAL '15 minutes') g(b)", spark_sql="SELECT * FROM gapfill('15 minutes', TIMESTAMP_NTZ '2024-01-01 00:05:00', TIMESTAMP_NTZ '2024-01-02 00:00:00')")
+_same("sql_bucket_months", "SELECT time_bucket(INTERVAL '3 months', o_orderdate) AS b, count(*) AS n FROM orders GROUP BY 1", "orders", spark_sql="SELECT bucket('3 months', o_orderdate) AS b, count(*) AS n FROM orders GROUP BY 1")
+_same("sql_first_last", "SELECT user_id, arg_min_null(value, ts) AS f, arg_max_null(event_type, ts) AS l FROM events GROUP BY 1", "events", spark_sql="SELECT user_id, first(value, ts) AS f, last(event_type, ts) AS l FROM events GROUP BY 1")
+_same(
+    "sql_asof_join", _asof_sql("l.user_id = r.user_id AND", "l.ts >= r.ts"), "events",
+    spark_sql="SELECT event_id, r_ts, r_value FROM asof_join('SELECT event_id, user_id, ts FROM events WHERE event_type = ''purchase''', 'SELECT user_id, ts, value FROM events WHERE event_type = ''view''', ARRAY['user_id'], 'ts')",
+)
+
+
+@query("SELECT event_id, value FROM events WHERE user_id = 7 AND value > 50.5")
+def rel_parameters(spark, sf_dir):
+    _views(spark, sf_dir, "events")
+    return spark.sql("SELECT event_id, value FROM events WHERE user_id = :user AND value > :least", args={"user": 7, "least": 50.5})
+
+
+@query("SELECT '0.1.0' AS version")
+def library_version(spark, sf_dir):
+    return spark.createDataFrame([(version(),)], "version string")
+
+
 # --- storage ------------------------------------------------------------------------------------------------------
 
 _HOURLY = "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {rows} GROUP BY 1, 2"
