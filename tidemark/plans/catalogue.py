@@ -542,3 +542,48 @@ query(_HOURLY.format(rows="events"))(storage.rollup_hourly)
 query(_HOURLY.format(rows=_LATE))(storage.rollup_after_late_rows)
 query("SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")(storage.rollup_daily_of_hourly)
 query(_HOURLY.format(rows="events"))(storage.stream_rollup)
+
+_ALL_LATE = f"SELECT * FROM {_LATE}"
+query("SELECT * FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 50 = 0) WHERE ts >= TIMESTAMP '2024-01-09 12:00:00' AND ts < TIMESTAMP '2024-01-11' AND value > 50.5")(storage.series_between)
+query(f"SELECT user_id, ts, value FROM {_LATE} WHERE user_id IN (3, 7, 11) AND ts < TIMESTAMP '2024-01-20'")(storage.series_seek)
+query(f"SELECT ts, event_id FROM {_LATE} ORDER BY ts DESC LIMIT 100")(storage.series_ordered)
+query(f"SELECT c AS \"column\", (SELECT count(*) FROM {_LATE}) AS rows, CASE c WHEN 'props' THEN (SELECT count(*) FROM {_LATE} WHERE props IS NULL) ELSE 0 END AS nulls FROM (VALUES ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value'), ('props')) v(c)")(storage.series_analyze)
+query(f"SELECT event_type, count(*) AS n FROM {_LATE} GROUP BY 1")(storage.series_sample_all)
+query("SELECT c AS \"column\", n AS rows, true AS stored FROM (SELECT count(*) AS n FROM events WHERE ts < (SELECT TIMESTAMP '2000-01-01' + INTERVAL 7 DAY * (CAST(floor(date_diff('day', TIMESTAMP '2000-01-01', min(ts)) / 7) AS INTEGER) + 1) FROM events)), (VALUES ('ts'), ('user_id'), ('value')) v(c)")(storage.column_rows)
+query("SELECT * FROM events WHERE NOT coalesce(value < 20 OR user_id IN (5, 9), false)")(storage.series_delete)
+_UPSERT = "d AS (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts, CAST(-1 AS DOUBLE) AS value FROM events WHERE event_id % 10 = 0)"
+query(f"WITH {_UPSERT} SELECT event_id, ts, value FROM events UNION ALL SELECT * FROM d WHERE (event_id, ts) NOT IN (SELECT (event_id, ts) FROM events)")(storage.upsert_nothing)
+query(f"WITH {_UPSERT} SELECT event_id, ts, value FROM events WHERE (event_id, ts) NOT IN (SELECT (event_id, ts) FROM d) UNION ALL SELECT * FROM d")(storage.upsert_update)
+query("SELECT * FROM events WHERE event_type = 'error'")(storage.series_truncate)
+query("SELECT * FROM events")(storage.tier_gc_keeps)
+for _storage in (storage.series_recall, storage.series_reseal, storage.series_unseal):
+    query(_ALL_LATE + " WHERE user_id <> 4")(_storage)
+query("SELECT * FROM events")(storage.series_adopt)
+query("SELECT * FROM events")(storage.series_adopt_in_place)
+_DAYS = "SELECT CAST(strftime(date_trunc('day', ts), 'p%Y%m%d') AS VARCHAR) AS name, 'live' AS state, count(*) AS rows FROM events {where} GROUP BY 1"
+query("SELECT 'default' AS name, 'default' AS state, count(*) AS rows FROM events")(storage.default_partition)
+query(_DAYS.format(where=""))(storage.series_migrate)
+_THREE = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'"
+query(_DAYS.format(where=f"WHERE {_THREE}") + f" UNION ALL SELECT 'default', 'default', count(*) FROM events WHERE NOT ({_THREE})")(storage.make_partitions)
+query("SELECT n AS name, CAST(0 AS BIGINT) AS rows FROM (VALUES ('p20241101'), ('p20241201'), ('p20250101'), ('p20250201')) v(n)")(storage.premade_partitions)
+query("SELECT * FROM (VALUES ('with rows', false), ('empty', true), ('refused', true)) v(step, done)")(storage.drop_default)
+query("SELECT w AS what, true AS refused FROM (VALUES ('no interval'), ('both'), ('a width of time'), ('text'), ('no column'), ('premake'), ('space is time'), ('one space'), ('mixed'), ('zero'), ('an interval of numbers'), ('no time')) v(w)")(storage.series_refusals)
+query("SELECT * FROM (VALUES ('made', 1), ('read by a rollup', 1), ('dropped', 0)) v(step, n)")(storage.series_dropped)
+query("SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15'")(storage.retention_applied)
+query(
+    "WITH d AS (SELECT date_diff('day', date_trunc('day', ts), TIMESTAMP '2024-01-31') - 1 AS age FROM events GROUP BY date_trunc('day', ts), 1), s AS (SELECT CASE WHEN age < 20 THEN 'live' WHEN age < 25 THEN 'sealed' ELSE 'tiered' END AS state FROM d WHERE age < 28) "
+    "SELECT 'partitions ' || state AS what, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'job ' || k, 1 FROM (VALUES ('premake'), ('seal'), ('tier'), ('retention'), ('refresh')) v(k)"
+)(storage.jobs_run)
+query("SELECT CAST(strftime(d, 'p%Y%m%d') AS VARCHAR) AS name, CASE WHEN d = TIMESTAMP '2024-01-01' THEN n ELSE 0 END AS changed FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY 1)")(storage.jobs_due)
+query("SELECT 'events' AS series, 'ts' AS time_column, (SELECT CAST(count(DISTINCT date_trunc('day', ts)) AS INTEGER) FROM events) AS partitions, CAST(0 AS BIGINT) AS rows_in_default, (SELECT count(*) FROM events) AS rows, true AS sealed")(storage.series_told)
+query("SELECT event_id, 7 AS w FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 100 = 0 THEN 1 END FROM events WHERE event_id % 50 = 0")(storage.series_add_column)
+query("SELECT * FROM events")(storage.series_space)
+query("SELECT * FROM events WHERE user_id <> 4 UNION ALL SELECT * FROM events WHERE event_id % 50 = 0 AND user_id <> 4")(storage.series_many_writers)
+query(_HOURLY.format(rows="(SELECT * FROM events WHERE user_id >= 20)"))(storage.rollup_after_delete)
+query(_HOURLY.format(rows="(SELECT ts, event_type, CASE WHEN event_type = 'error' THEN value + 1000 ELSE value END AS value FROM events)"))(storage.rollup_after_update)
+query(_HOURLY.format(rows="(SELECT * FROM events WHERE event_id % 50 = 0)"))(storage.rollup_after_truncate)
+query("SELECT CAST(sum(n) AS BIGINT) AS n, 2 AS ranges, 2 AS folders FROM (SELECT count(*) AS n FROM events UNION ALL SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-03 04:00:00' AND ts < TIMESTAMP '2024-01-03 05:00:00' UNION ALL SELECT 2 * count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-05 04:00:00' AND ts < TIMESTAMP '2024-01-05 05:00:00')")(storage.rollup_refreshed)
+query(f"SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM {_LATE} GROUP BY 1")(storage.rollup_chain_after_late_rows)
+query("SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, arg_min_null(value, ts) AS first_value, arg_max_null(event_type, ts) AS last_type FROM events GROUP BY 1")(storage.rollup_first_last)
+query(_HOURLY.format(rows="(SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15 10:00:00')"))(storage.rollup_retention)
+query("SELECT w AS what, true AS refused FROM (VALUES ('avg of a rollup'), ('distinct of a rollup'), ('buckets that do not nest'), ('a key that is not selected'), ('no source'), ('a name twice'), ('read by another'), ('all dropped')) v(w)")(storage.rollup_refusals)
