@@ -6,13 +6,15 @@ characters that occur in training, or, if none does, those one shorter, down to
 single letters. A text's sums over its words decide; the score is the winner's
 share after the sums are tempered by the root of the number of words.
 
-The model is fitted on the whole texts of a bounded sample, ``SAMPLE`` labelled
-documents drawn by a hash of the id, and keeps ``WORDS`` words a language.
+The model is fitted on the whole texts of a bounded sample: about ``SAMPLE``
+labelled documents drawn by a hash of the id, as many of each language, and all
+of a language that has fewer. It knows every word of them.
 
 Edge cases: a null, empty or letterless text is ``und`` with score 0, as is every
 text when nothing could be learned; ties go to the language first in the
 alphabet; null languages and null ids are not learned from; rows that repeat an
-id are rows of their own.
+id are rows of their own; columns that are not named, whatever they are called,
+are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import Cache, bounded_batches, claim
 
 SAMPLE = 8000
-WORDS = 20_000
 NGRAMS = (4, 3, 2, 1)
 #: Counts a word needs in training to be known; below, its n-grams speak for it.
 KNOWN = 3
@@ -105,15 +105,20 @@ class Model:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a sample of docs; the driver gets counts of at most ``WORDS`` words a language."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    n = known.count()
-    drawn = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / max(1, n)))
-    words = drawn.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}]+")).alias("word")).filter("word != ''")
-    counts = words.groupBy("lang", "word").count()
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("k") <= WORDS)
+    """Fit on a sample of docs; the driver gets the words of the sample, counted by language."""
+    known = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
+    share, left, rest = {}, SAMPLE, len(sizes)
+    for lang, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        # What small languages leave of their part goes to the others.
+        share[lang] = min(1.0, left / rest / n)
+        left, rest = left - min(n, left / rest), rest - 1
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([*share.items()], f"lang {dict(known.dtypes)['lang']}, share double")
+    drawn = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * F.col("share"))
+    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word != ''")
     out: dict[str, dict[str, int]] = defaultdict(Counter)
-    for lang, word, count in zip(*[c.to_pylist() for c in top.select("lang", "word", "count").toArrow().columns]):
+    for lang, word, count in zip(*[c.to_pylist() for c in words.groupBy("lang", "word").count().toArrow().columns]):
         out[lang][word] = count
     return Model(out)
 
