@@ -17,8 +17,8 @@ Edge cases: a null page is an empty payload; rows that repeat a page id and its
 payload are records of their own, all of the type of that pair; a null page id
 is written as ``none`` and read as null, and is never revisited unless no other
 has that payload; a null url is empty; a chain that breaks (a damaged archive)
-yields its records up to the break; an empty table gives an empty archive and
-no rows.
+yields its records up to the break; other columns, whatever their names, are not
+looked at; an empty table gives an empty archive and no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ BLANK = "\r\n\r\n"
 REVISIT_BYTES = 1000
 #: A side of at most this many rows (of under 200 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of a stretch of an archive: records that hold magic, and pieces, are brought together stretch by stretch.
+STRETCH = 1 << 20
 #: Fixed date of the records, as the tables have none.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -163,8 +165,10 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 def _spanning(pieces: DataFrame, placed: DataFrame, records: DataFrame) -> DataFrame:
     """(file, off, spanning): digests of the payloads that hold magic, put together from their pieces."""
-    spans = records.filter("not whole").select("file", F.col("off").alias("start"), "head", "http", "content")
-    inside = placed.select("file", "block", "off", "size", "hash").join(spans.hint("merge"), "file").filter("off >= start and off < start + 10 + head + content + 4")
+    spans = records.filter("not whole").select("file", F.col("off").alias("start"), "head", "http", "content", F.expr(f"off + {len(MAGIC)} + head + content + {len(BLANK)}").alias("stop"))
+    spans = spans.withColumn("stretch", F.explode(F.expr(f"sequence(start div {STRETCH}, (stop - 1) div {STRETCH})")))
+    pieces_at = placed.select("file", "block", "off", "size", "hash", F.expr(f"off div {STRETCH}").alias("stretch"))
+    inside = pieces_at.join(spans.hint("merge"), ["file", "stretch"]).filter("off >= start and off < stop")
     inside = materialize(inside, "spans")
     # Pieces of one split with equal contents stand for each other.
     wanted = materialize(inside.select("file", "block", "hash").distinct(), "wanted")
