@@ -10,7 +10,9 @@ they come first, because they need no look at the bytes.
 
 Edge cases: null and empty texts give no ids and decode to the empty string;
 texts of any length are encoded whole; a special token's string in a text is
-that token, as the tokenizers library has it; rows repeat as often as given.
+that token, as the tokenizers library has it; rows repeat as often as given;
+other columns, whatever their names, are not looked at; an empty table gives no
+rows.
 """
 
 from __future__ import annotations

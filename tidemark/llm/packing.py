@@ -12,7 +12,8 @@ full sequences stay open for the next window.
 
 Edge cases: null and empty texts have the end token alone; rows of one id are
 documents of their own, ordered by the rest of their row; an empty table gives
-no rows; texts are never cut short.
+no rows; texts are never cut short; other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations

@@ -15,13 +15,15 @@ also goes to the range before.
 Edge cases: null and empty texts have the empty sketch, alike to each other
 (1) and to nothing else (0); rows of one id follow each other by a hash of
 their texts, null ids come last; the only row follows itself; texts of any
-length are read whole, in chunks; an empty table gives no rows.
+length are read whole, in chunks; other columns, whatever their names, are not
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,12 +108,14 @@ def from_text(s: str) -> np.ndarray:
     return np.hstack([raw, np.zeros((len(raw), 8 - BITS // 8), np.uint8)]).view("<u8").ravel() if len(raw) else np.zeros(0, np.uint64)
 
 
-def _tree(value: Column, bounds: list[int], low: int = 0) -> Column:
-    """How many of the descending bounds are at or above value, by bisection."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(value > bounds[mid], _tree(value, bounds[:mid], low)).otherwise(_tree(value, bounds[mid + 1 :], low + mid + 1))
+def _above(value: Column, bounds: list[int]) -> Column:
+    """How many of the descending bounds are at or above value: whole groups of bounds first, then within one."""
+    width = math.isqrt(len(bounds)) + 1
+    groups = [bounds[at : at + width] for at in range(0, len(bounds), width)]
+    none = F.array().cast("array<bigint>")
+    whole = F.size(F.filter(F.lit([g[-1] for g in groups]).cast("array<bigint>") if groups else none, lambda b: value <= b))
+    last = F.get(F.array(*[F.lit(g).cast("array<bigint>") for g in groups], none), whole)
+    return whole * width + F.size(F.filter(last, lambda b: value <= b))
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,9 +124,9 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ids = F.col(id_col).cast("long")
     n = 4 * partitions(spark)
-    quantiles = docs.agg(F.percentile_approx(ids, [k / n for k in range(1, n)], 10_000)).first()[0] or []
+    quantiles = docs.agg(F.percentile_approx(ids, [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or []
     bounds = sorted(set(quantiles), reverse=True)
-    rows = docs.select(F.when(ids.isNull(), len(bounds) + 1).otherwise(_tree(ids, bounds)).alias("range"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(F.when(ids.isNull(), len(bounds) + 1).otherwise(_above(ids, bounds)).alias("range"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), F.coalesce(text_col, F.lit("")).alias("text"))
     first = sorted((r["range"], r["first"]["id"], r["first"]["hash"]) for r in rows.groupBy("range").agg(F.max(F.struct("id", "hash")).alias("first")).collect())
     sent = [(*f, first[i - 1][0]) for i, f in enumerate(first)]  # a row a range: bounded by the number of partitions
     to = spark.createDataFrame(sent, f"f_range int, f_id {dict(docs.dtypes)[id_col]}, f_hash long, before int")

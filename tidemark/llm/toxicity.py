@@ -16,7 +16,9 @@ of either label, drawn by a hash of the id; every text is scored whole.
 Edge cases: null and empty texts have no token and get the score of none; with
 labels of one kind only, or none, every score is that share (0 without labels);
 null labels and labels without a document are left out; of several labels of
-one id the highest counts; rows of one id are rows of their own.
+one id the highest counts; rows of one id are rows of their own; other columns
+are kept where asked for, whatever their names (the score's name is a parameter);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
