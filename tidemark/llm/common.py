@@ -63,12 +63,14 @@ def claim(name: str, held: dict | None = None) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only where the setting is unset (a local session, as in tests) a temporary
+    Only where the setting is unset in a local session, as in tests, a temporary
     folder of this machine takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "root" not in _OWN:
         _OWN["root"] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _OWN["root"]
@@ -89,10 +91,29 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_GATHERED: list[tuple[SparkSession, str]] = []
+
+
+def forget() -> None:
+    """Scratch tables made so far are not for ``release`` to remove."""
+    _GATHERED.clear()
+
+
+def release(kept: DataFrame) -> None:
+    """Remove the scratch tables made since ``forget``, except those that a frame reads."""
+    files = kept.inputFiles()
+    for spark, path in list(_GATHERED):
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in files):
+            _remove_quietly(spark, path)
+            _GATHERED.remove((spark, path))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, removed when the driver's Python ends."""
     path = f"{scratch_root(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     atexit.register(_remove_quietly, spark, path)
+    _GATHERED.append((spark, path))
     return path
 
 

@@ -16,8 +16,8 @@ byte are parsed and counted once and removed whole (if as long as a window).
 
 Edge cases: null and empty texts have no words; texts shorter than a window
 lose nothing; overlapping repeats within one text count; a run of one word is
-a repeat of itself; rows that repeat an id are texts of their own; an empty
-table gives no rows.
+a repeat of itself; rows that repeat an id are texts of their own; other
+columns stay as they are, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ ROUNDS = 6
 RUNS = (0,)
 #: A side of at most this many rows of a key is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 250_000
+#: Windows that occur more often than this are found without being brought together.
+OFTEN = 1_000
 #: Context of what touches the end of a text: no window holds it.
 FAR = 1 << 40
 #: Words parsed at once; longer texts are parsed on their own.
@@ -243,6 +245,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["key", "removed", "kept"])
 
 
+def _those(windows: DataFrame, twice: DataFrame) -> DataFrame:
+    """The windows whose hashes are in twice. Those of a passage that very many texts share stay where they are."""
+    often = OFTEN
+    while (n := twice.filter(F.col("n") > often).count()) > BROADCAST_ROWS:
+        often *= 4
+    names = ["ones", "twos"]
+    if not n:
+        return windows.join(twice.select(*names).hint("merge"), names, "left_semi")
+    hot = F.broadcast(twice.filter(F.col("n") > often).select(*names))
+    cold = twice.filter(F.col("n") <= often).select(*names).hint("merge")
+    return windows.join(hot, names, "left_semi").unionByName(windows.join(hot, names, "left_anti").join(cold, names, "left_semi"))
+
+
 def _among(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """The texts with one of the keys, without moving others if the keys are few; keys must be a written table."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -271,8 +286,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     hashed = materialize(texts.join(marked, "key").select("rid", "text", "at").mapInArrow(_hash_windows, "rid bigint, starts array<int>, ones array<bigint>, twos array<bigint>"), "windows")
 
     windows = hashed.select("rid", F.explode(F.arrays_zip("starts", "ones", "twos")).alias("w")).select("rid", "w.starts", "w.ones", "w.twos")
-    twice = windows.groupBy("ones", "twos").agg(F.count("*").alias("n")).filter("n > 1").select("ones", "twos")
-    starts = materialize(windows.join(twice, ["ones", "twos"]).groupBy("rid").agg(F.collect_list("starts").alias("starts")), "starts")
+    twice = materialize(windows.groupBy("ones", "twos").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    starts = materialize(_those(windows, twice).groupBy("rid").agg(F.collect_list("starts").alias("starts")), "starts")
     losing = materialize(starts.join(marked.select("rid", "key"), "rid").select("key", "starts"), "losing")
     texts = _among(keyed.select("key", "text"), losing.select("key")).dropDuplicates(["key"])
     cut = texts.join(losing, "key").select("key", "text", "starts").mapInArrow(_cut, "key binary, removed bigint, kept string")
