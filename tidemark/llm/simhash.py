@@ -9,8 +9,10 @@ Where fingerprints may link, two of their four 16-bit bands are equal; blocks
 by pairs of bands hold all candidates. Inside a block every fingerprint has a
 row of Hamming distances to ``PIVOTS`` reference fingerprints. By the triangle
 inequality a pair whose rows differ anywhere by more than the distance sought
-is no link; what the table leaves is verified bit by bit. Of the verified pairs
-of a block, a spanning forest is kept, never all pairs.
+is no link: the block is sorted by its distances to the pivot that tells most,
+which leaves the pairs within a window, and the other pivots discard most of
+those. What the table leaves is verified bit by bit. Of the verified pairs of a
+block, a spanning forest is kept, never all pairs.
 
 A block of over ``BLOCK`` fingerprints (a cloud of near copies) is not examined
 pair by pair: its members are hung on each of their 65 neighbours within one
@@ -21,7 +23,8 @@ over 65 members.
 Edge cases: null and empty texts, and those of white space alone, have
 fingerprint zero and link like any other; fewer words than a shingle count as
 one shingle; rows of one id are rows of their own; a null id is never a
-component's name unless all its rows have none; an empty table gives no rows.
+component's name unless all its rows have none; other columns, whatever their
+names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +45,9 @@ SEED = 42
 MAX_DISTANCE = 2
 BANDS = 4
 PIVOTS = 32
-BLOCK = 256
+BLOCK = 4096
+#: Pairs of a block that are looked at together.
+TOGETHER = 1 << 18
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -97,31 +102,46 @@ def distance_table(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of n nodes with edges (a, b)."""
-    root, kept = list(range(n)), []
-    for i, j in zip(a.tolist(), b.tolist()):
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the edges (a, b) that connect parts which were not connected; root (every node's least known) is kept up."""
+    kept = []
+    new = root[a] != root[b]
+    for i, j in zip(a[new].tolist(), b[new].tolist()):
         x, y = i, j
         while root[x] != x:
-            root[x] = x = root[root[x]]
+            x = root[x]
         while root[y] != y:
-            root[y] = y = root[root[y]]
+            y = root[y]
+        root[i] = root[j] = root[x] = root[y] = min(x, y)
         if x != y:
-            root[max(x, y)] = min(x, y)
             kept.append((i, j))
+    while (root[root] != root).any():
+        root[:] = root[root]
     return kept
 
 
 def block_links(fp: np.ndarray, table: np.ndarray, distance: int = MAX_DISTANCE) -> list[tuple[int, int]]:
     """Indices of linked pairs of one block, enough to connect all that link."""
-    a, b = np.triu_indices(len(fp), 1)
-    for at in range(PIVOTS):
-        near = np.abs(table[a, at] - table[b, at]) <= distance
-        a, b = a[near], b[near]
-        if not len(a):
-            return []
-    true = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-    return _forest(len(fp), a[true], b[true])
+    n, found, root = len(fp), [], np.arange(len(fp))
+    # Pivots by how few pairs have equal distances to them.
+    order = np.argsort([(np.bincount(table[:, p]) ** 2).sum() for p in range(PIVOTS)], kind="stable")
+    row = np.argsort(table[:, order[0]], kind="stable")
+    first = table[row, order[0]]
+    count = np.searchsorted(first, first + distance, side="right") - np.arange(n) - 1
+    total = np.cumsum(count)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER, side="right")))
+        some = count[at:end]
+        a = np.repeat(np.arange(at, end), some)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
+        a, b, at = row[a], row[b], end
+        for p in order[1:]:
+            near = np.abs(table[a, p] - table[b, p]) <= distance
+            a, b = a[near], b[near]
+        true = np.bitwise_count(fp[a] ^ fp[b]) <= distance
+        found += _join(root, a[true], b[true])
+    return found
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -170,11 +190,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
 
 
 #: For similar texts rather than equal fingerprints: how alike the sets of shingles must be, the least hashes of a
-#: text that name its blocks, and the members and shingles of a tile of a block; a task compares two tiles.
+#: text that name its blocks, the members and shingles of a tile of a block, and the members of a large block that go
+#: to all of its tiles.
 SIMILARITY = 0.8
 NAMES = 4
-MEMBERS = 8_000
+MEMBERS = 1_024
 SHINGLES = 2_000_000
+HEADS = 8
 
 
 def _set(text: str | None, words: int) -> np.ndarray:
@@ -255,8 +277,10 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     Texts with the same set of shingles are one. Others meet in blocks named by their least shingle hashes (of four
     names; the README has how often two texts at 0.8 miss each other). In a block, the whole sets of shingle hashes,
     made again from the texts, decide for every pair; links kept are one for each pair of clusters that meet. A block
-    of over ``MEMBERS`` texts or ``SHINGLES`` shingles is cut into tiles, and every two tiles meet in a task. Null ids
-    stay last; texts without words are alike.
+    of over ``MEMBERS`` texts or ``SHINGLES`` shingles is cut into tiles, a task each, and ``HEADS`` of its members go to
+    all of them: copies of one text are like these, and so connected. What of a block is not connected to the largest
+    part of it then meets every tile, so that no link is lost, and work is linear where blocks are groups of copies.
+    Null ids stay last; texts without words are alike.
     """
     bounded_batches(docs.sparkSession)
     marked = docs.select(F.col(rid).alias("rid"), text_col).mapInArrow(_signatures(words), "rid bigint, sig bigint, size int, names array<bigint>")
@@ -265,12 +289,29 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     names = distinct.select("sig", "rid", "size", F.explode("names").alias("block"))
     tiles = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / SHINGLES))
     blocks = names.groupBy("block").agg(F.count("*").alias("n"), tiles.alias("tiles")).filter("n > 1")
-    members = names.join(blocks, "block").withColumn("own", F.pmod(F.xxhash64("sig"), "tiles"))
-    others = F.when(F.col("tiles") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own"))).otherwise(F.array("own"))
-    dealt = members.withColumn("other", F.explode(others)).select("rid", "block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("with"), "sig")
-    dealt = dealt.join(docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text")), "rid").select("block", "tile", "with", "sig", "text")
-    linked = dealt.repartition("block", "tile", "with").sortWithinPartitions("block", "tile", "with", "sig").mapInArrow(_link(words), "u bigint, v bigint")
-    stars = graph.components(linked)
+    members = materialize(names.join(blocks, "block").withColumn("own", F.pmod(F.xxhash64("sig"), "tiles").cast("int")).select("block", "rid", "sig", "tiles", "own"), "members")
+    texts = docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        """Links between the texts that are in one tile (block, tile, other)."""
+        rows = dealt.join(texts, "rid").select("block", "tile", "other", "sig", "text")
+        return rows.repartition("block", "tile", "other").sortWithinPartitions("block", "tile", "other", "sig").mapInArrow(_link(words), "u bigint, v bigint")
+
+    own = members.select("block", F.col("own").alias("tile"), F.lit(0).alias("other"), "rid", "sig")
+    large = members.filter("tiles > 1")
+    few = [F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "rid", "own", "tiles")) for k in range(HEADS)]
+    heads = large.groupBy("block").agg(F.array_distinct(F.transform(F.array(*few), lambda x: x.dropFields("h"))).alias("heads")).select("block", F.explode("heads").alias("x")).select("block", "x.*")
+    heads = heads.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("tile"), F.lit(0).alias("other"), "rid", "sig", "own").filter("tile != own").drop("own")
+    links = materialize(linked(own.unionByName(heads)), "links")
+    stars = graph.components(links)
+    parts = large.join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    main = parts.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    apart = materialize(parts.join(main, "block").filter("root != main").select("block", "rid", "sig", "tiles"), "apart")
+    if not apart.isEmpty():
+        sizes = apart.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("others"))
+        theirs = apart.join(sizes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("tile"), F.pmod(F.xxhash64("sig"), "others").cast("int").alias("other"), "rid", "sig")
+        all_of = large.join(sizes, "block").select("block", F.col("own").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "rid", "sig")
+        stars = graph.components(links.unionByName(linked(all_of.unionByName(theirs).dropDuplicates(["block", "tile", "other", "sig"]))))
     rooted = marked.select("rid", "sig").join(docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id")), "rid").join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("rid"))
     staying = rooted.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.rid").alias("rid"), F.lit(True).alias("stays"))
@@ -278,7 +319,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
 
 
 def drop_similar(docs: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the texts that resemble one with a smaller id."""
+    """docs without the texts that resemble one with a smaller id; all columns stay as they are, whatever their names."""
     rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
     groups = similar_groups(rows.select("rid", F.col(f"row.{id_col}").alias(id_col), F.col(f"row.{text_col}").alias(text_col)), words=words, id_col=id_col, text_col=text_col)
     gone = materialize(groups.filter("not stays").select("rid"), "gone")
