@@ -162,3 +162,34 @@ def test_pipeline_runs_on_odd_rows(spark, tmp_path):
     assert seen["substring_dedup"][1] == rows[1][1]
     assert "[EMAIL]" in seen["pii"][202] and seen["pii"][1] == rows[1][1]
     assert out.count() == corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["pii"])
+
+
+def test_pipeline_keeps_clashing_columns_and_empty_tables(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, toxicity_score string, pii_spans string, row string, rid long, score double, key string, kept string"
+    rows = [(i, f"mail jo{i}@x.org {' '.join(f'w{i}x{k}' for k in range(30))}", "en", "s", 0, "a", "b", "c", 7, 0.5, "d", "e") for i in range(20)]
+    for name, some in (("full", rows), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 0, int(i < 3)) for i, *_ in some], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            out.write.parquet(f"{folder}/{k}")
+            if name != "packing":
+                docs = spark.read.parquet(f"{folder}/{k}")
+                assert docs.columns == [c.split()[0] for c in kinds.split(", ")]
+        got = docs.collect()
+        assert len(got) <= len(some) and all((r.toxicity_score, r.pii_spans, r.row, r.rid, r.score, r.key, r.kept) == ("a", "b", "c", 7, 0.5, "d", "e") and "[EMAIL]" in r.text for r in got)
+        assert bool(got) == bool(some) and corpus_pipeline.run(spark, folder).count() == len(got)
+
+
+def test_names_rarely_miss_similar_texts():
+    """How often two texts at a similarity of 0.8 and 0.9 share none of the least hashes that name their blocks."""
+    rng = np.random.default_rng(21)
+    for like, most in ((0.8, 0.001), (0.9, 0.0001)):
+        n, missed, tries = 300, 0, 20_000
+        own = round(n * (1 - like) / (1 + like))
+        for _ in range(tries):
+            h = rng.integers(0, 1 << 62, n + own)
+            missed += not np.intersect1d(np.sort(h[:n])[: simhash.NAMES], np.sort(h[own:])[: simhash.NAMES]).size
+        assert missed <= most * tries
