@@ -126,6 +126,8 @@ def test_similar_sets_match_brute_force():
         true = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
         got = simhash.similar(sets)
         assert set(got) <= set(true) and groups(got) == groups(true)
+        known = [(i, 0) for i in range(n // 3)]  # as if these were connected already
+        assert groups(known + simhash.similar(sets, n // 3)) == groups(known + [p for p in true if max(p) >= n // 3])
 
 
 def brute_groups(n, pairs):

@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
 #: to all of its tiles.
 SIMILARITY = 0.8
 NAMES = 4
-MEMBERS = 1_024
+MEMBERS = 2_048
 SHINGLES = 2_000_000
 HEADS = 8
 
@@ -205,8 +205,8 @@ def _set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
 
 
-def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Indices of pairs of similar sets, enough to connect all that are similar.
+def similar(sets: list[np.ndarray], known: int = 0) -> list[tuple[int, int]]:
+    """Indices of pairs of similar sets, enough to connect all that are similar. The first ``known`` are connected already.
 
     Every set's hashes are looked up among those of the sets before it, which counts what it has in common with each.
     """
@@ -219,7 +219,8 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     upto[order] = np.arange(len(order))
     since = np.concatenate([[0], np.cumsum(np.bincount(ids))])[ids]
     cluster, found = np.arange(len(sets)), []
-    for k in range(1, len(sets)):
+    cluster[:known] = 0
+    for k in range(max(known, 1), len(sets)):
         low, high = since[at[k] : at[k + 1]], upto[at[k] : at[k + 1]]
         some = high > low
         if not some.any():
@@ -236,25 +237,26 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _link(words: int):
-    """Members sorted by block and pair of tiles -> links (u, v) between the similar ones."""
+    """Members sorted by block and pair of tiles, connected ones first -> links (u, v) between the similar ones."""
 
-    def links_of(sigs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        found = similar(sets)
+    def links_of(sigs: list[int], sets: list[np.ndarray], known: int) -> pa.RecordBatch:
+        found = similar(sets, known)
         return pa.RecordBatch.from_arrays([pa.array([sigs[x[i]] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
-        last, sigs, sets = None, [], []
+        last, sigs, sets, known = None, [], [], 0
         for batch in batches:
-            for *place, sig, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for *place, apart, sig, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if place != last:
                     if len(sigs) > 1:
-                        yield links_of(sigs, sets)
-                    last, sigs, sets = place, [], []
+                        yield links_of(sigs, sets, known)
+                    last, sigs, sets, known = place, [], [], 0
+                known += not apart
                 sigs.append(sig)
                 sets.append(_set(text, words))
         if len(sigs) > 1:
-            yield links_of(sigs, sets)
+            yield links_of(sigs, sets, known)
 
     return run
 
@@ -279,7 +281,8 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     made again from the texts, decide for every pair; links kept are one for each pair of clusters that meet. A block
     of over ``MEMBERS`` texts or ``SHINGLES`` shingles is cut into tiles, a task each, and ``HEADS`` of its members go to
     all of them: copies of one text are like these, and so connected. What of a block is not connected to the largest
-    part of it then meets every tile, so that no link is lost, and work is linear where blocks are groups of copies.
+    part of it then meets the texts of every other tile, so that no link is lost, and work is linear where blocks are
+    groups of copies.
     Null ids stay last; texts without words are alike.
     """
     bounded_batches(docs.sparkSession)
@@ -293,25 +296,27 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     texts = docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
 
     def linked(dealt: DataFrame) -> DataFrame:
-        """Links between the texts that are in one tile (block, tile, other)."""
-        rows = dealt.join(texts, "rid").select("block", "tile", "other", "sig", "text")
-        return rows.repartition("block", "tile", "other").sortWithinPartitions("block", "tile", "other", "sig").mapInArrow(_link(words), "u bigint, v bigint")
+        """Links between the texts that are in one tile or two (block, tile, other); those not apart are connected already."""
+        rows = dealt.join(texts, "rid").select("block", "tile", "other", "apart", "sig", "text")
+        return rows.repartition("block", "tile", "other").sortWithinPartitions("block", "tile", "other", "apart", "sig").mapInArrow(_link(words), "u bigint, v bigint")
 
     own = members.select("block", F.col("own").alias("tile"), F.lit(0).alias("other"), "rid", "sig")
     large = members.filter("tiles > 1")
     few = [F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "rid", "own", "tiles")) for k in range(HEADS)]
     heads = large.groupBy("block").agg(F.array_distinct(F.transform(F.array(*few), lambda x: x.dropFields("h"))).alias("heads")).select("block", F.explode("heads").alias("x")).select("block", "x.*")
     heads = heads.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("tile"), F.lit(0).alias("other"), "rid", "sig", "own").filter("tile != own").drop("own")
-    links = materialize(linked(own.unionByName(heads)), "links")
+    links = materialize(linked(own.unionByName(heads).withColumn("apart", F.lit(True))), "links")
     stars = graph.components(links)
     parts = large.join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     main = parts.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    apart = materialize(parts.join(main, "block").filter("root != main").select("block", "rid", "sig", "tiles"), "apart")
-    if not apart.isEmpty():
-        sizes = apart.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("others"))
-        theirs = apart.join(sizes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("tile"), F.pmod(F.xxhash64("sig"), "others").cast("int").alias("other"), "rid", "sig")
-        all_of = large.join(sizes, "block").select("block", F.col("own").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "rid", "sig")
-        stars = graph.components(links.unionByName(linked(all_of.unionByName(theirs).dropDuplicates(["block", "tile", "other", "sig"]))))
+    told = materialize(parts.join(main, "block").select("block", "rid", "sig", "own", "tiles", (F.col("root") != F.col("main")).alias("apart")), "told")
+    where = told.filter("apart").groupBy("block").agg(F.collect_set("own").alias("theirs"))  # at most as many as the block has tiles
+    if not where.isEmpty():
+        # Every two tiles meet, unless neither has a text that is apart.
+        met = F.filter(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1), lambda t: (t != F.col("own")) & (F.array_contains("theirs", t) | F.array_contains("theirs", F.col("own"))))
+        pairs = told.join(where, "block").select("block", "rid", "sig", "own", "apart", F.explode(met).alias("t"))
+        pairs = pairs.select("block", F.least("own", "t").alias("tile"), F.greatest("own", "t").alias("other"), "rid", "sig", "apart")
+        stars = graph.components(links.unionByName(linked(pairs)))
     rooted = marked.select("rid", "sig").join(docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id")), "rid").join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("rid"))
     staying = rooted.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.rid").alias("rid"), F.lit(True).alias("stays"))
