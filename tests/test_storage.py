@@ -207,3 +207,18 @@ def test_stream_into_series(spark, catalog, tmp_path):
         into_series(stream(), s, f"file://{tmp_path}/ck", refresh=[r]).awaitTermination()
     same(s.scan(), df)
     assert r.read().agg(F.sum("n")).first()[0] == 600
+
+
+def test_many_partitions_refuse_as_few_do(spark, catalog):
+    s = Series.create(catalog, "many", spark.range(0).select(F.col("id").alias("n")).schema, "n", width=1, premake=1)
+    assert s.make_partitions(0, 1003) == 1003 and s.drop_default()
+    assert s.insert(spark.range(7, 9).select(F.col("id").alias("n"))) == 2
+    with pytest.raises(Exception, match="no partition covers"):
+        s.insert(spark.range(5000, 5001).select(F.col("id").alias("n")))
+    assert DEFAULT not in s.spec["partitions"] and s.scan().count() == 2
+
+
+def test_batch_is_inserted_once(spark, catalog):
+    s = Series.create(catalog, "b", minutes(spark, 0).schema, "ts", interval="1 day", premake=1, now=DAY0)
+    assert [s.insert(minutes(spark, 5), batch=("x", n)) for n in (0, 0, 1, 0)] == [5, 0, 5, 0]
+    assert s.scan().count() == 10
