@@ -316,7 +316,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
         met = F.filter(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1), lambda t: (t != F.col("own")) & (F.array_contains("theirs", t) | F.array_contains("theirs", F.col("own"))))
         pairs = told.join(where, "block").select("block", "rid", "sig", "own", "apart", F.explode(met).alias("t"))
         pairs = pairs.select("block", F.least("own", "t").alias("tile"), F.greatest("own", "t").alias("other"), "rid", "sig", "apart")
-        stars = graph.components(links.unionByName(linked(pairs)))
+        stars = graph.components(stars.unionByName(linked(pairs)))  # the stars connect what the links do
     rooted = marked.select("rid", "sig").join(docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id")), "rid").join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("rid"))
     staying = rooted.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.rid").alias("rid"), F.lit(True).alias("stays"))
