@@ -62,7 +62,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that disclose it, generalised."""
     release(docs)
     spans = _free("pii_spans", docs)
-    found = pii.find(docs, spans_col=spans)
+    found = pii.find(docs, spans_col=spans, reach=None)
     return _sized(found.withColumn("text", pii.sanitised(F.col("text"), F.col(spans)))).select(*docs.columns)
 
 

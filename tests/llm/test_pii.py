@@ -127,6 +127,66 @@ def test_term_spans_match_brute_force(spark):
         assert got[i] == want[i], t
 
 
+def brute_terms_anywhere(texts):
+    """The spans of disclosing terms of every text, looked for in whole texts."""
+    distinct = set(texts)
+    n = len(distinct)
+    words = lambda t: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(EMAIL.pattern + r"|[^\W\d_]{4,}", t) if "@" not in m[0]]
+    entities = {t: {e for e, _ in mentions(t)} for t in distinct}
+    of_entity, of_term, together = {}, {}, {}
+    for t in distinct:
+        for w in set(re.findall(r"[^\W\d_]+", t.lower())):
+            of_term[w] = of_term.get(w, 0) + 1
+        for e in entities[t]:
+            of_entity[e] = of_entity.get(e, 0) + 1
+            for w in {w for w, _, _ in words(t)}:
+                together[e, w] = together.get((e, w), 0) + 1
+    content = lambda e: -math.log2(of_entity[e] / n)
+    told = lambda e, w: math.log2((together[e, w] - 0.5) * n / (of_entity[e] * of_term[w]))
+    bad = lambda e, w: content(e) > 0 and told(e, w) * 1.25 >= content(e)
+    return [[(a, z) for w, a, z in words(t) if any(bad(e, w) for e in entities[t])] for t in texts]
+
+
+def test_terms_of_whole_texts_match_brute_force(spark):
+    rng = random.Random(7)
+    filler = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    rare = [f"rare{'abcdefghij'[i % 10] * 2}{'klmnopqrst'[i // 10]}" for i in range(80)]
+    people = [(f"jo{i}@x.org", f"tell{'abcdefghij'[i] * 2}") for i in range(10)]
+    things = ["Al.B@mail.example.com", "10.0.0.7", "999.1.1.1", "4111 1111 1111 1111", "+1 (017) 555-7713", "é漢😀", "sub.al@y.net,next"]
+    texts = [" ".join(rng.choice(rng.choices([filler, rare, things], [200, 5, 1])[0]) for _ in range(rng.randint(1, 150))) for _ in range(400)]
+    for i, (mail, term) in enumerate(people):  # a term far from what it tells, or between two matches of a kind
+        for _ in range(i // 2 + 1):
+            texts.append(f"{term} {' '.join(rng.choices(filler, k=40))} {mail} {rng.choice(people)[0]} {' '.join(rng.choices(filler, k=40))} {term.upper()}")
+    texts += texts[:5] * 40 + texts[-1:] * 30 + [f"the only copy of zebraword {' '.join(filler)} q{i}@z.org" for i in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    terms = lambda found: {r.doc_id: [(s["start"], s["end"]) for s in r.pii_spans if s["kind"] == pii.TERM] for r in found.collect()}
+    got, want = terms(pii.find(docs, reach=None)), brute_terms_anywhere(texts)
+    assert sum(map(len, want)) > 100
+    for i, t in enumerate(texts):
+        assert got[i] == want[i], t
+
+
+def test_terms_far_from_a_mention(spark):
+    rows = [(i, f"plain words {'abcdefghij'[i % 10] * 4}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}") for i in range(300)]
+    far = "plain words " * 100
+    rows += [(400 + i, f"nr {i} Zanzibar consul {far} jo@x.org {far} Quokka") for i in range(3)] + [(500, f"Okapi {far}"), (501, f"Okapi {far} al@x.org {far} Éabcd@x.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.t for r in pii.find(docs, reach=None).select("doc_id", pii.sanitised(F.col("text"), F.col("pii_spans")).alias("t")).collect()}
+    for i in range(3):
+        assert clean[400 + i] == f"nr {i} [TERM] [TERM] {far} [EMAIL] {far} [TERM]"
+    assert clean[500] == f"Okapi {far}"  # mentions nothing
+    assert clean[501].startswith("Okapi") and clean[501].endswith("É[EMAIL]")  # half of two texts tells too little
+
+
+def test_many_entities_and_terms_of_one_text(spark):
+    name = lambda i: "name" + "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    text = " ".join(f"{name(i)} u{i}@host.org" for i in range(20_000))
+    rows = [(0, text)] + [(1 + i, f"nr {i} plain {'abcdefghij'[i % 10] * 4}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}") for i in range(1000)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), reach=None)
+    sizes = {r.doc_id: r.n for r in found.select("doc_id", F.size("pii_spans").alias("n")).collect()}
+    assert sizes.pop(0) == 40_000 and set(sizes.values()) == {0}
+
+
 def test_text_of_many_addresses(spark):
     text = " ".join(f"name{i} u{i}@host{i % 7}.org" for i in range(100_000))
     docs = spark.createDataFrame([(1, text), (2, "plain"), (3, "mail jo@x.org")], "doc_id long, text string")

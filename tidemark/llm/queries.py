@@ -60,7 +60,7 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"], reach=None)
     base = F.filter("pii_spans", lambda s: s["kind"] != pii.TERM)
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in pii.PATTERNS], F.sha2(pii.as_text(base).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
