@@ -47,9 +47,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: shingles of five words, similarity 0.8."""
+    """One document of each group of near duplicates: those that SimHash links as in op7, and those whose sets of five-word shingles are alike at 0.8."""
     release(docs)
-    return simhash.drop_similar(docs, words=5)
+    return simhash.drop_similar(docs, words=5, fingerprint_words=3)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,31 @@ def test_stars_and_chains_in_tiles(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == expected
 
 
+def test_stage_links_by_fingerprints_too(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    rows = []
+    bits = lambda a, b: (simhash.fingerprint(" ".join(a)) ^ simhash.fingerprint(" ".join(b))).bit_count()
+    for g in range(6):
+        near = None
+        while near is None or bits(text, near) > 2:
+            text = [f"w{x}" for x in rng.integers(0, 1 << 40, 400)]
+            near = edited(rng, text, 9)  # 0.796 alike
+        far = next(x for x in iter(lambda: edited(rng, text, 9), None) if bits(text, x) > 2)
+        rows += [(g * 10 + c, " ".join(x)) for c, x in enumerate((text, near, edited(rng, near, 6), far))]
+    sets, prints, root = [shingles(t) for _, t in rows], [simhash.fingerprint(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    expected = sorted({rows[r][0] for r in root})
+    assert expected == sorted([g * 10 for g in range(6)] + [g * 10 + 3 for g in range(6)]) and len(least_of_groups(rows)) == 18
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for members in (simhash.MEMBERS, 2):
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == expected
+
+
 def test_repeated_lines_do_not_part_near_copies(spark):
     rng = np.random.default_rng(13)
     rows = []

@@ -273,10 +273,11 @@ def _signatures(words: int):
     return run
 
 
-def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col: str = "doc_id", text_col: str = "text", linked_rows: DataFrame | None = None) -> DataFrame:
     """(rid, stays) for every row: of the texts whose word shingles resemble each other, that of the least id stays.
 
-    Texts with the same set of shingles are one. Others meet in blocks named by their least shingle hashes (of four
+    ``linked_rows``: (rid, component_id) of rows that are linked already; their links are links of the groups like those
+    found here. Texts with the same set of shingles are one. Others meet in blocks named by their least shingle hashes (of four
     names; the README has how often two texts at 0.8 miss each other). In a block, the whole sets of shingle hashes,
     made again from the texts, decide for every pair; links kept are one for each pair of clusters that meet. A block
     of over ``MEMBERS`` texts or ``SHINGLES`` shingles is cut into tiles, a task each, and ``HEADS`` of its members go to
@@ -305,7 +306,12 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     few = [F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "rid", "own", "tiles")) for k in range(HEADS)]
     heads = large.groupBy("block").agg(F.array_distinct(F.transform(F.array(*few), lambda x: x.dropFields("h"))).alias("heads")).select("block", F.explode("heads").alias("x")).select("block", "x.*")
     heads = heads.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("tile"), F.lit(0).alias("other"), "rid", "sig", "own").filter("tile != own").drop("own")
-    links = materialize(linked(own.unionByName(heads).withColumn("apart", F.lit(True))), "links")
+    links = linked(own.unionByName(heads).withColumn("apart", F.lit(True)))
+    if linked_rows is not None:
+        members_of = materialize(linked_rows.join(marked.select("rid", "sig"), "rid").select("component_id", "sig").distinct(), "linked")
+        least = members_of.groupBy("component_id").agg(F.min("sig").alias("v"), F.count("*").alias("n")).filter("n > 1")
+        links = links.unionByName(members_of.join(least, "component_id").filter("sig != v").select(F.col("sig").alias("u"), "v"))
+    links = materialize(links, "links")
     stars = graph.components(links)
     parts = large.join(stars.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     main = parts.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
@@ -323,10 +329,18 @@ def similar_groups(docs: DataFrame, *, words: int = 5, rid: str = "rid", id_col:
     return rooted.select("rid").join(staying, "rid", "left").select("rid", F.coalesce("stays", F.lit(False)).alias("stays"))
 
 
-def drop_similar(docs: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the texts that resemble one with a smaller id; all columns stay as they are, whatever their names."""
+def drop_similar(docs: DataFrame, *, words: int = 5, fingerprint_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the texts that resemble one with a smaller id; all columns stay as they are, whatever their names.
+
+    With ``fingerprint_words``, texts that ``near_duplicates`` links by fingerprints of shingles of so many words are of
+    one group as well: groups are what the links of fingerprints and of sets connect together.
+    """
     rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
-    groups = similar_groups(rows.select("rid", F.col(f"row.{id_col}").alias(id_col), F.col(f"row.{text_col}").alias(text_col)), words=words, id_col=id_col, text_col=text_col)
+    texts = rows.select("rid", F.col(f"row.{id_col}").alias(id_col), F.col(f"row.{text_col}").alias(text_col))
+    linked = None
+    if fingerprint_words is not None:
+        linked = near_duplicates(texts, words=fingerprint_words, id_col="rid", text_col=text_col).select("rid", "component_id")
+    groups = similar_groups(texts, words=words, id_col=id_col, text_col=text_col, linked_rows=linked)
     gone = materialize(groups.filter("not stays").select("rid"), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(gone) if few else gone.hint("merge"), "rid", "left_anti").select("row.*")
