@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii
+from tidemark.llm import pii, queries
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -178,6 +178,17 @@ def test_terms_far_from_a_mention(spark):
     assert clean[501].startswith("Okapi") and clean[501].endswith("É[EMAIL]")  # half of two texts tells too little
 
 
+def test_query_looks_at_whole_texts(spark, tmp_path):
+    far = "plain words " * 100
+    rows = [(i, f"{far} {'abcdefghij'[i % 10] * 4}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}") for i in range(300)]
+    rows += [(400 + i, f"\u0130stanbul {far} jo@x.org {far} \u03a3\u0391\u03a3'\u0391\u039d\u0391\u03a3\u0391 Quokka") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in queries.op9_pii(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        places = [("email", "jo@x.org"), ("term", "\u0130stanbul"), ("term", "\u0391\u039d\u0391\u03a3\u0391"), ("term", "Quokka")] if i >= 400 else []
+        assert got[i] == ",".join(f"{k}:{text.index(v)}:{text.index(v) + len(v)}" for k, v in places)
+
+
 def test_many_entities_and_terms_of_one_text(spark):
     name = lambda i: "name" + "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
     text = " ".join(f"{name(i)} u{i}@host.org" for i in range(20_000))

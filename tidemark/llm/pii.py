@@ -173,7 +173,8 @@ def _frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, of_term): the number of distinct texts that hold a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("hash")).dropDuplicates(["hash"])
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    # Words are lower-cased one by one, as those beside a mention are: a text as a whole may give other letters.
+    words = texts.select(F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}]+"), F.lower))).alias("term"))
     # Counted before they are joined, so that a frequent word is one row a task.
     return words.groupBy("term").agg(F.count("*").alias("of_term"))
 
