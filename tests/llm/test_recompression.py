@@ -1,7 +1,11 @@
 import hashlib
+import pathlib
+import re
+import sys
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidemark.llm import recompression as rc
 
@@ -71,3 +75,23 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert rc.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_workers_give_back_what_they_have_freed(spark, monkeypatch):
+    """Idle workers stand beside the JVM of the stages that follow: what no task uses any more is not theirs."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, 100 + i))) for i in range(3)], "doc_id long, text string")
+    steps, kind = [], type(docs)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, step, *a, **b: steps.append(step) or real(self, step, *a, **b))
+    assert {r.n_removed for r in rc.remove_repeats(docs).collect()} == {99, 100}
+    assert len(steps) == 3
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", pathlib.Path("/proc/self/status").read_text())[1]) / 1024
+    for step in steps:
+        before = held()
+        blocks = [bytes(2000) for _ in range(100_000)]
+        pins = blocks[::1000]
+        del blocks
+        assert held() > before + 100
+        assert not list(step(iter([])))
+        assert held() < before + 50 and len(pins) == 100

@@ -8,7 +8,9 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import reachable
@@ -56,8 +58,24 @@ def claim(name: str, held: dict | None = None) -> None:
         _CLAIMED[name] = held
     if others:
         gc.collect()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
+
+
+def _give_back() -> None:
+    """What this process has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for ``mapInArrow``, after which a worker keeps nothing that it no longer uses: idle workers stand beside the JVM of later stages."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return tidy
 
 
 def scratch_root(spark: SparkSession) -> str:

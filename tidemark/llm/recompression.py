@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, claim, materialize
+from tidemark.llm.common import bounded_batches, claim, materialize, tidied
 
 WINDOW = 35
 ROUNDS = 6
@@ -270,7 +270,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
-    parsed = keyed.select("id", "key", "text").mapInArrow(_parse_texts, f"id {dict(docs.dtypes)[id_col]}, key binary, words bigint, sha string, syms array<bigint>, vacant boolean")
+    parsed = keyed.select("id", "key", "text").mapInArrow(tidied(_parse_texts), f"id {dict(docs.dtypes)[id_col]}, key binary, words bigint, sha string, syms array<bigint>, vacant boolean")
     parsed = materialize(parsed.withColumn("rid", F.monotonically_increasing_id()), "parsed")
     copies = materialize(parsed.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "copies")
     spare = materialize(parsed.select("rid", "key").join(copies.filter("copies > 1").select("key", F.col("rid").alias("kept")), "key").filter("rid != kept").select("rid"), "spare")
@@ -283,14 +283,14 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     marked = once.select("rid", "key", "vacant").join(found, "rid", "left").filter("vacant or at is not null")
     marked = materialize(marked.select("rid", "key", "at"), "marked")
     texts = _among(keyed.select("key", "text"), marked.select("key")).dropDuplicates(["key"])
-    hashed = materialize(texts.join(marked, "key").select("rid", "text", "at").mapInArrow(_hash_windows, "rid bigint, starts array<int>, ones array<bigint>, twos array<bigint>"), "windows")
+    hashed = materialize(texts.join(marked, "key").select("rid", "text", "at").mapInArrow(tidied(_hash_windows), "rid bigint, starts array<int>, ones array<bigint>, twos array<bigint>"), "windows")
 
     windows = hashed.select("rid", F.explode(F.arrays_zip("starts", "ones", "twos")).alias("w")).select("rid", "w.starts", "w.ones", "w.twos")
     twice = materialize(windows.groupBy("ones", "twos").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
     starts = materialize(_those(windows, twice).groupBy("rid").agg(F.collect_list("starts").alias("starts")), "starts")
     losing = materialize(starts.join(marked.select("rid", "key"), "rid").select("key", "starts"), "losing")
     texts = _among(keyed.select("key", "text"), losing.select("key")).dropDuplicates(["key"])
-    cut = texts.join(losing, "key").select("key", "text", "starts").mapInArrow(_cut, "key binary, removed bigint, kept string")
+    cut = texts.join(losing, "key").select("key", "text", "starts").mapInArrow(tidied(_cut), "key binary, removed bigint, kept string")
     rows = parsed.select("id", "key", "words", "sha").join(copies.select("key", (F.col("copies") > 1).alias("whole")), "key")
     return rows, cut
 
