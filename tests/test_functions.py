@@ -150,6 +150,16 @@ def test_hll(spark):
     assert text.sketch == text.s
 
 
+def test_hll_counts_beside_sketches(spark):
+    df = spark.range(40_000).select((F.col("id") % 4).alias("k"), F.when(F.col("id") % 4 != 3, F.col("id") % 6000 * 7).alias("v"))
+    for bits in (4, 12):  # values meet in the registers of both
+        plain = {r.k: r.sketch for r in hll.distinct_sketch(df, ["k"], "v", bits).collect()}
+        counted = hll.distinct_sketch(df, ["k"], "v", bits, count="n").collect()
+        assert {r.k: r.sketch for r in counted} == plain
+        want = {r.k: r.n for r in df.groupBy("k").agg(F.countDistinct("v").alias("n")).collect()}
+        assert {r.k: r.n for r in counted} == want and want[3] == 0 < want[0]
+
+
 def test_tdigest(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(0, 1, 20_000), rng.exponential(5, 20_000)])

@@ -28,8 +28,14 @@ def _check(bits: int) -> None:
         raise ValueError("a sketch has 4 to 18 bits")
 
 
-def _assemble(maxima: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """maxima: keys, _p, _i, _rho (null where a group has no value)."""
+def error(bits: int) -> float:
+    """The standard error of an estimate, as a part of the count."""
+    _check(bits)
+    return 1.04 / math.sqrt(1 << bits)
+
+
+def _assemble(maxima: DataFrame, keys: list[str], name: str, count: str | None = None) -> DataFrame:
+    """maxima: keys, _p, _i, _rho (null where a group has no value), and _n where a count is asked for."""
     reachable(maxima.sparkSession)
 
     @pandas_udf("binary")
@@ -39,19 +45,33 @@ def _assemble(maxima: DataFrame, keys: list[str], name: str) -> DataFrame:
         out[i[seen].to_numpy(np.int64)] = rho[seen].to_numpy(np.uint8)
         return out.tobytes()
 
-    found = maxima.groupBy(*keys, "_p").agg(registers("_p", "_i", "_rho").alias("_regs"))
-    return found.select(*keys, F.struct(F.col("_p").alias("precision"), F.col("_regs").alias("registers")).alias(name))
+    @pandas_udf("bigint")
+    def total(n: pd.Series) -> int:
+        return int(n.sum())
 
+    counts = [total("_n").alias("_count")] if count else []
+    found = maxima.groupBy(*keys, "_p").agg(registers("_p", "_i", "_rho").alias("_regs"), *counts)
+    sketch = F.struct(F.col("_p").alias("precision"), F.col("_regs").alias("registers")).alias(name)
+    return found.select(*keys, sketch, *([F.col("_count").alias(count)] if count else []))
 
-def distinct_sketch(df: DataFrame, keys: list[str], value: str, bits: int = 12, name: str = "sketch") -> DataFrame:
-    """A sketch of the values of each group. Nulls do not count; a group of nulls has an empty sketch."""
+
+def distinct_sketch(df: DataFrame, keys: list[str], value: str, bits: int = 12, name: str = "sketch", count: str | None = None) -> DataFrame:
+    """A sketch of the values of each group. Nulls do not count; a group of nulls has an empty sketch.
+
+    ``count`` names a column with the exact number of values, which a sketch only estimates, as values meet in registers.
+    For it all distinct values are shuffled; else at most a group's registers.
+    """
     _check(bits)
-    h = F.xxhash64(value)
+    values = df.select(*keys, F.col(value).alias("_v"))
+    if count:
+        values = values.distinct()
+    h = F.xxhash64("_v")
     rest = F.shiftleft(h, bits)
     zeros = F.when(rest == 0, 64).otherwise(64 - F.length(F.bin(rest)))
     rho = F.least(zeros + 1, F.lit(64 - bits + 1))
-    rows = df.select(*keys, F.lit(bits).alias("_p"), F.when(F.col(value).isNotNull(), F.shiftrightunsigned(h, 64 - bits)).alias("_i"), rho.alias("_rho"))
-    return _assemble(rows.groupBy(*keys, "_p", "_i").agg(F.max("_rho").alias("_rho")), keys, name)
+    rows = values.select(*keys, F.lit(bits).alias("_p"), F.when(F.col("_v").isNotNull(), F.shiftrightunsigned(h, 64 - bits)).alias("_i"), rho.alias("_rho"), "_v")
+    counts = [F.count("_v").alias("_n")] if count else []
+    return _assemble(rows.groupBy(*keys, "_p", "_i").agg(F.max("_rho").alias("_rho"), *counts), keys, name, count)
 
 
 def merge(df: DataFrame, keys: list[str], sketch: str = "sketch") -> DataFrame:
